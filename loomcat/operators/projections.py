@@ -40,9 +40,12 @@ def listing_row(products: DataFrame, brand_id: str | None = None) -> DataFrame:
     )
 
 
-def product_row(products: DataFrame, brand_id: str | None = None) -> DataFrame:
-    """Rows of the product table without its generated columns; the brand id is the given one."""
-    columns = []
+def product_row(products: DataFrame, brand_id: str | None = None, *carried: str) -> DataFrame:
+    """Rows of the product table without its generated columns; the brand id is the given one.
+
+    ``carried`` names columns passed along, such as the sequence an upsert orders by.
+    """
+    columns = [F.col(name) for name in carried]
     for field in PRODUCT_TABLE:
         if field.name in ("id", "created_at"):
             continue

@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_KINDS = {
+    "STRING": T.StringType(),
+    "INT": T.IntegerType(),
+    "BIGINT": T.LongType(),
+    "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(),
+    "TIMESTAMP": T.TimestampType(),
+    "ARRAY<STRING>": T.ArrayType(T.StringType()),
+    "MAP<STRING,STRING>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """Schema of ``name KIND, ...``; unlike ``fromDDL`` it needs no running session."""
+    pairs = (column.split(" ") for column in columns.split(", "))
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
 
 
 # Column names and types of the stored tables.
@@ -69,7 +83,7 @@ RUN_ITEM_TEXT_COLUMNS = [
 ]
 BRAND_CONFIG = _schema(
     "name STRING, brand_id STRING, base_url STRING, search_api_url STRING, "
-    "headers MAP<STRING, STRING>, timeout INT, categories MAP<STRING, STRING>, page_size INT, "
+    "headers MAP<STRING,STRING>, timeout INT, categories MAP<STRING,STRING>, page_size INT, "
     "product_limit INT, max_workers INT, sleep_between_requests INT, retry_count INT, "
     "retry_delay INT, enhance_with_details BOOLEAN, detail_workers INT, product_selector STRING, "
     "name_selector STRING, product_brand_selector STRING, subtitle_selector STRING, "
