@@ -179,9 +179,10 @@ ARTICLES = TileSpec(
 
 @query(
     "tile_extract_web_pages",
-    """SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
+    """SELECT page_id, replace(title, '&amp;', '&') AS title, replace(heading, '&amp;', '&') AS heading FROM (
+      SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
       CASE WHEN html LIKE '%<h1%' THEN trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)) END AS heading
-      FROM pages""",
+      FROM pages) p""",
 )
 def tile_extract_web_pages(spark, sf_dir):
     found = extract_tiles(table(spark, sf_dir, "pages"), ARTICLES, ["page_id"])
@@ -430,10 +431,12 @@ def size_value(spark, sf_dir):
     )
 
 
+WORDS_SQL = r"regexp_extract_all(replace(text, '|', ''), '[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')"
+
+
 @query(
     "words_array",
-    """SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(replace(text, '|', ''), '[\\s]+'), w -> w <> '')) AS INT) AS n_words,
-      list_filter(regexp_split_to_array(replace(text, '|', ''), '[\\s]+'), w -> w <> '')[1] AS first_word FROM documents""",
+    f"""SELECT doc_id, CAST(len({WORDS_SQL}) AS INT) AS n_words, {WORDS_SQL}[1] AS first_word FROM documents""",
 )
 def words_array(spark, sf_dir):
     found = details.words_array(F.col("text"))
