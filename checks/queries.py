@@ -248,7 +248,7 @@ rule("compound_fabric", "va", lambda: {"fabric": titles.compound_fabric(words(F.
 
 
 def _collection_segment() -> Column:
-    return F.coalesce(urls.segment_after(F.col("href"), "collections"), F.lit(""))
+    return urls.segment_after(F.col("href"), "collections")
 
 
 rule("category_from_url", "va", lambda: {"category": urls.category_from_collection(_collection_segment())},

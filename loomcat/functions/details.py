@@ -126,14 +126,14 @@ def detail_records(captures: DataFrame, base_url: str | Column, as_of: Column) -
     """
     base = F.lit(base_url) if isinstance(base_url, str) else base_url
     keys = [c for c in captures.columns if c != "body"]
-    doc = captures.select(*keys, "body", parse_document(F.col("body")).alias("_doc"))
-    p = F.col("_doc.product")
+    # As a generated row the document is parsed once, whatever is filtered or read later.
+    doc = captures.select(*keys, "body", F.inline(F.array(parse_document(F.col("body")))))
+    p = F.col("product")
     price = p["price"]
     object_body = F.ltrim("body").startswith("{")
     usable = (
         object_body
-        & F.col("_doc").isNotNull()
-        & F.col("_doc._broken").isNull()
+        & F.col("_broken").isNull()
         & ~_unreadable(price["sales"])
         & ~_unreadable(price["list"])
         & ~_null_object(F.col("body"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomcat.functions.text import first_word, round_2dp, strip, to_double
+from loomcat.functions.text import first_word, round_2dp, strip, to_amount, to_double
 
 # Fixed values of the price texts.
 NO_PRICE = "N/A"
@@ -36,17 +36,15 @@ def original_price_text(text: Column, price: Column) -> Column:
     )
 
 
-def amount_a(text: Column) -> Column:
-    bare = F.replace(F.replace(text, F.lit(MARK_A), F.lit("")), F.lit(","), F.lit(""))
-    return to_double(bare)
+def _bare_a(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(MARK_A), F.lit("")), F.lit(","), F.lit(""))
 
 
 def discount_int(original: Column, price: Column) -> Column:
     """Whole percent, half to even; NULL if unknown, equal as text, unreadable or original <= 0."""
-    was, now = amount_a(original), amount_a(price)
-    known = (original != price) & (original != NO_PRICE) & (price != NO_PRICE) & (was > 0)
+    was, now = to_amount(_bare_a(original)), to_double(_bare_a(price))
     percent = F.try_divide(was - now, was) * F.lit(100.0)
-    return F.when(known, F.bround(percent, 0).try_cast("int"))
+    return F.when(original != price, F.bround(percent, 0).try_cast("int"))
 
 
 def on_sale_a(discount: Column) -> Column:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 WHITESPACE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 _CASED_RUNS = r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"
-_FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_INT = r"^[+-]?\d+$"
+_UNSIGNED = r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
 
 def strip(text: Column) -> Column:
@@ -25,8 +24,7 @@ def squeeze(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words; an empty text has none."""
-    squeezed = squeeze(text)
-    return F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, " "))
+    return F.array_remove(F.split(squeeze(text), " "), "")
 
 
 def first_word(text: Column) -> Column:
@@ -53,13 +51,21 @@ def contains_any(text: Column, needles: list[str]) -> Column:
 
 def to_double(text: Column) -> Column:
     """Number or NULL; refuses NaN, infinities and type suffixes that a plain cast would take."""
-    trimmed = strip(text)
-    return F.when(trimmed.rlike(_FLOAT), trimmed.try_cast("double"))
+    return _matching(text, f"[+-]?{_UNSIGNED}").try_cast("double")
+
+
+def to_amount(text: Column) -> Column:
+    """As ``to_double``, without negative numbers."""
+    return _matching(text, rf"\+?{_UNSIGNED}").try_cast("double")
 
 
 def to_int(text: Column) -> Column:
-    trimmed = strip(text)
-    return F.when(trimmed.rlike(_INT), trimmed.try_cast("int"))
+    return _matching(text, r"[+-]?\d+").try_cast("int")
+
+
+def _matching(text: Column, pattern: str) -> Column:
+    """The trimmed text if all of it matches, else an empty text, which no number cast takes."""
+    return F.regexp_extract(text, rf"^{WHITESPACE}*({pattern}){WHITESPACE}*$", 1)
 
 
 def round_2dp(value: Column) -> Column:

@@ -139,7 +139,5 @@ def slug_b(name: Column, brand_text: Column) -> Column:
 
 def colors_from_sku(sku: Column) -> Column:
     """The part after the last underscore, title-cased, as a one-element array."""
-    part = F.substring_index(sku, "_", -1)
-    return F.when(
-        F.coalesce(sku.contains("_") & (part != ""), F.lit(False)), F.array(title_case(part))
-    ).otherwise(F.array().cast("array<string>"))
+    part = F.regexp_extract(sku, r"_([^_]*)\z", 1)
+    return F.array_remove(F.array(title_case(part)), "")

@@ -19,7 +19,8 @@ DEFAULT_SIZE = "3PC"
 
 def absolute_url(url: Column, base_url: Column) -> Column:
     """Put the base in front of a non-empty address that does not start with http."""
-    return F.when((url != "") & ~url.startswith("http"), F.concat(base_url, url)).otherwise(url)
+    literal_base = F.regexp_replace(base_url, r"([\\$])", r"\\$1")
+    return F.regexp_replace(url, r"^(?!http|\z)", literal_base)
 
 
 def strip_query(url: Column) -> Column:
@@ -31,10 +32,8 @@ def normalize_image_url(url: Column, base_url: Column) -> Column:
 
 
 def segment_after(url: Column, marker: str) -> Column:
-    """Path segment after the first segment equal to ``marker``; NULL when there is none."""
-    segments = F.split(url, "/")
-    at = F.array_position(segments, marker).cast("int")
-    return F.when(at > 0, F.get(segments, at))
+    """Path segment after the first segment equal to ``marker``; empty when there is none."""
+    return F.regexp_extract(url, f"(?:^|/){marker}/([^/]*)", 1)
 
 
 def piece_info(collection: Column) -> Column:
@@ -56,13 +55,12 @@ def category_from_collection(collection: Column) -> Column:
 
 def sku_from_product_path(url: Column) -> Column:
     """Segment after ``products`` up to its first dot, else empty."""
-    return F.coalesce(F.substring_index(segment_after(url, "products"), ".", 1), F.lit(""))
+    return F.substring_index(segment_after(url, "products"), ".", 1)
 
 
 def sku_from_file_name(url: Column) -> Column:
     """Last path segment up to its first dot, if the path has segments and it holds an underscore."""
-    file_name = F.substring_index(F.substring_index(url, "/", -1), ".", 1)
-    return F.when(url.contains("/") & file_name.contains("_"), file_name).otherwise("")
+    return F.regexp_extract(url, r"/([^/._]*_[^/.]*)(?:\.[^/]*)?\z", 1)
 
 
 def lazy_image(data_src: Column, src: Column) -> Column:

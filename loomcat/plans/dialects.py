@@ -83,7 +83,7 @@ def products_a(tiles: DataFrame) -> DataFrame:
         )
     ).withColumns(
         {
-            "_collection": F.coalesce(urls.segment_after(F.col("url"), "collections"), F.lit("")),
+            "_collection": urls.segment_after(F.col("url"), "collections"),
             "original_price": prices.original_price_text(F.col("original_raw"), F.col("price")),
         }
     ).withColumn(
@@ -127,16 +127,12 @@ def products_b(tiles: DataFrame) -> DataFrame:
     staged = tiles.withColumns(
         {
             "url": url,
-            "_listed": listed,
             "_words": words(F.col("name")),
             "_tags": tag_data(F.col("tag_raw")),
             "price": prices.price_text(prices.price_text_b(F.col("price_raw"))),
         }
     ).withColumn(
-        "sku",
-        F.when(F.col("_listed") != "", F.col("_listed")).otherwise(
-            urls.sku_from_file_name(F.col("url"))
-        ),
+        "sku", F.coalesce(F.nullif(listed, F.lit("")), urls.sku_from_file_name(F.col("url")))
     )
     name = F.col("name")
     return staged.select(

@@ -83,7 +83,7 @@ def test_numbers(one):
     ],
 )
 def test_collection_path(one, url, piece, category):
-    segment = F.coalesce(urls.segment_after(X, "collections"), F.lit(""))
+    segment = urls.segment_after(X, "collections")
     got = one([(url,)], "x string", urls.piece_info(segment), urls.category_from_collection(segment))
     assert got == [(piece, category)]
 
