@@ -407,7 +407,11 @@ def rendered_pages(spark: SparkSession, sf_dir: str, view: str, tile: str) -> Da
         F.col("pos"),
         F.expr(tile).alias("_tile"),
     )
-    pages = tiles.groupBy("brand", "category", "start", "ok", "no_results").agg(
+    # A fixed number of partitions: reading HTML costs far more than its bytes suggest, so AQE
+    # should not put all pages into few tasks as it would for plain rows of this size.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = tiles.repartition(width, "brand", "category", "start")
+    pages = spread.groupBy("brand", "category", "start", "ok", "no_results").agg(
         F.array_sort(F.collect_list(F.struct("pos", "_tile"))).alias("_tiles")
     )
     marker = F.when(F.col("no_results"), '<p class="no-results">nothing</p>').otherwise("")

@@ -1,14 +1,16 @@
 """Listing pages to tiles.
 
-The one stage that leaves the JVM: a page's HTML goes through the standard library's event parser
-in ``mapInArrow`` and comes back as one row per page with an array of raw tile strings. Pages are
-independent, so the stage has no shuffle and no state, and everything after it is native.
+The one stage that leaves the JVM: a page's HTML is walked in ``mapInArrow`` and comes back as one
+row per page with an array of raw tile strings. Pages are independent, so the stage has no shuffle
+and no state, and everything after it is native. Tags left open are closed with their ancestor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from html import unescape
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -21,6 +23,7 @@ PAGES_PER_BATCH = 256  # bounds the Python memory of one step; not a cap on page
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
+RAW_TEXT_TAGS = frozenset(["script", "style"])
 HIDDEN_TEXT_TAGS = frozenset(["script", "style", "template"])
 _SELF, _PARENT, _TEXT, _FOUND = "self", "parent", "text", "found"
 
@@ -75,7 +78,7 @@ class _Selectors:
                         self.by_tag.setdefault(tag, []).append(rule)
                     needed, bit = bit, bit << 1
 
-    def match(self, tag: str, classes: list[str], inherited: int) -> tuple[int, list[str]]:
+    def match(self, tag: str, classes: Iterable[str], inherited: int) -> tuple[int, list[str]]:
         mask, hits = inherited, []
         for needed, bit, _, final in self.by_tag.get(tag, ()):
             if inherited & needed == needed:
@@ -91,11 +94,33 @@ class _Selectors:
         return mask, hits
 
 
-class _TileWalker(HTMLParser):
-    """Collects the tiles of one page."""
+_ATTRIBUTE = r"""[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*))?"""
+_TOKEN = re.compile(
+    rf"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[\s/=]+|{_ATTRIBUTE})*+)>)", re.S
+)
+_NAME_VALUE = re.compile(
+    r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|((?!["'])[^\s>]*)))?"""
+)
+_RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW_TEXT_TAGS}
+
+
+@lru_cache(maxsize=4096)
+def _attributes(source: str) -> dict[str, str]:
+    """Attributes of a start tag; the first of equal names counts, a bare name is empty."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in _NAME_VALUE.findall(source):
+        found.setdefault(name.lower(), unescape(double or single or bare))
+    return found
+
+
+class _TileWalker:
+    """Collects the tiles of one page in one pass over its tags.
+
+    Attributes and text are only decoded where a selector or an open capture wants them, which is
+    what makes this stage affordable: it is the one that is not compiled.
+    """
 
     def __init__(self, spec: TileSpec):
-        super().__init__(convert_charrefs=True)
         self.spec = spec
         found: dict[str, list[tuple[str, str]]] = {}
         self.own, self.parents = [], []
@@ -110,37 +135,46 @@ class _TileWalker(HTMLParser):
         self.selectors = _Selectors([spec.root, spec.stop, *found])
 
     def read(self, html: str) -> tuple[list[dict], bool]:
-        self.reset()
         self.tiles: list[dict] = []
         self.open_tiles: list[tuple[int, dict, set]] = []  # depth, values, selectors seen
         self.captures: list[tuple[int, list[str], dict, str]] = []  # depth, pieces, values, name
-        self.stack: list[tuple[str, int, dict]] = []  # tag, mask, attributes
+        self.stack: list[tuple[str, int, str]] = []  # tag, mask, attribute text
         self.stopped = False
-        self.feed(html)
-        self.close()
-        self._pop_to(0)
+        position = 0
+        while token := _TOKEN.search(html, position):
+            if self.captures:
+                self._data(html[position : token.start()])
+            position = token.end()
+            closing, tag, attributes = token.groups()
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if closing:
+                self._end(tag)
+            else:
+                self._start(tag, attributes)
+                if tag in RAW_TEXT_TAGS:
+                    end = _RAW_END[tag].search(html, position)
+                    position = end.start() if end else len(html)
+        if self.captures:
+            self._data(html[position:])
+        self._close_from(0)
         return self.tiles, self.stopped
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self._start(tag, attrs, tag not in VOID_TAGS)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self._start(tag, attrs, False)
-
-    def _start(self, tag: str, attrs: list, opens: bool) -> None:
-        attributes: dict[str, str] = {}
-        for key, value in attrs:
-            attributes.setdefault(key, value or "")
-        inherited = self.stack[-1][1] if self.stack else 0
-        classes = list(dict.fromkeys(attributes.get("class", "").split()))
-        mask, hits = self.selectors.match(tag, classes, inherited)
-        depth = len(self.stack)
-        if hits:
-            self._take(hits, attributes, depth, opens)
+    def _start(self, tag: str, attributes: str) -> None:
+        stack = self.stack
+        inherited = stack[-1][1] if stack else 0
+        mask = inherited
+        opens = tag not in VOID_TAGS and not attributes.endswith("/")
+        if tag in self.selectors.by_tag or "class" in attributes.lower():
+            classes = _attributes(attributes).get("class", "").split() if attributes else []
+            mask, hits = self.selectors.match(tag, dict.fromkeys(classes), inherited)
+            if hits:
+                self._take(hits, attributes, len(stack), opens)
         if opens:
-            self.stack.append((tag, mask, attributes))
+            stack.append((tag, mask, attributes))
 
-    def _take(self, hits: list[str], attributes: dict, depth: int, opens: bool) -> None:
+    def _take(self, hits: list[str], source: str, depth: int, opens: bool) -> None:
         for _, values, seen in self.open_tiles:
             for selector in hits:
                 if selector in seen or selector not in self.by_selector:
@@ -150,7 +184,7 @@ class _TileWalker(HTMLParser):
                     if take == _FOUND:
                         values[name] = True
                     elif take != _TEXT:
-                        values[name] = attributes.get(take)
+                        values[name] = _attributes(source).get(take)
                     elif opens:
                         self.captures.append((depth, [], values, name))
                     else:
@@ -158,44 +192,43 @@ class _TileWalker(HTMLParser):
         if self.spec.stop in hits:
             self.stopped = True
         if self.spec.root in hits:
-            self._open_tile(attributes, depth, opens)
+            self._open_tile(source, depth, opens)
 
-    def _open_tile(self, attributes: dict, depth: int, opens: bool) -> None:
+    def _open_tile(self, source: str, depth: int, opens: bool) -> None:
         values: dict = {"pos": len(self.tiles)}
         for name, field in self.spec.fields.items():
             values[name] = False if field.take == _FOUND else None
         for name, take in self.own:
-            values[name] = attributes.get(take)
+            values[name] = _attributes(source).get(take)
         if self.stack:
             for name, take in self.parents:
-                values[name] = self.stack[-1][2].get(take)
+                values[name] = _attributes(self.stack[-1][2]).get(take)
         self.tiles.append(values)
         if opens:
             self.open_tiles.append((depth, values, set()))
 
-    def handle_endtag(self, tag: str) -> None:
+    def _end(self, tag: str) -> None:
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
-                self._pop_to(depth)
+                del self.stack[depth:]
+                if self.captures or self.open_tiles:
+                    self._close_from(depth)
                 return
 
-    def _pop_to(self, depth: int) -> None:
-        """Close every open element at or below ``depth``."""
-        del self.stack[depth:]
+    def _close_from(self, depth: int) -> None:
+        """Close every tile and text capture at or below ``depth``."""
         while self.open_tiles and self.open_tiles[-1][0] >= depth:
             self.open_tiles.pop()
-        still_open = []
-        for capture in self.captures:
-            if capture[0] >= depth:
-                capture[2][capture[3]] = "".join(capture[1]).strip()
-            else:
-                still_open.append(capture)
-        self.captures = still_open
-
-    def handle_data(self, data: str) -> None:
-        if self.captures and self.stack[-1][0] not in HIDDEN_TEXT_TAGS:
+        if any(capture[0] >= depth for capture in self.captures):
+            for _, pieces, values, name in (c for c in self.captures if c[0] >= depth):
+                values[name] = "".join(pieces).strip()
+            self.captures = [c for c in self.captures if c[0] < depth]
+
+    def _data(self, text: str) -> None:
+        if text and self.stack[-1][0] not in HIDDEN_TEXT_TAGS:
+            decoded = unescape(text)
             for capture in self.captures:
-                capture[1].append(data)
+                capture[1].append(decoded)
 
 
 def extract_tiles(pages: DataFrame, spec: TileSpec, keys: list[str]) -> DataFrame:

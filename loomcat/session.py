@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -54,6 +55,21 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for sessions that were not submitted with it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # The driver serves this file to its executors for as long as the application runs.
+    archive = os.path.join(tempfile.mkdtemp(prefix="loomcat-package-"), "loomcat")
+    context.addPyFile(shutil.make_archive(archive, "zip", parent, "loomcat"))
+    _shipped.add(context.applicationId)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, grouped by application so it can be expired."""
     app = spark.sparkContext.applicationId
