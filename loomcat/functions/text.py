@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters treated as whitespace when trimming and splitting.
-WHITESPACE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Fixed value: the characters treated as whitespace when trimming and splitting, those with the
+# Unicode property and four separators. Patterns using it start with the flag for the property.
+UNICODE = "(?U)"
+SPACE = r"[\s\x1C-\x1F]"
 
 _CASED_RUNS = r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"
-_UNSIGNED = r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+_UNSIGNED = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of whitespace (``trim`` only removes spaces)."""
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.regexp_replace(text, rf"{UNICODE}\A{SPACE}+|{SPACE}+\z", "")
 
 
 def squeeze(text: Column) -> Column:
     """Trim and turn each whitespace run into one space."""
-    return strip(F.regexp_replace(text, f"{WHITESPACE}+", " "))
+    return F.trim(F.regexp_replace(text, f"{UNICODE}{SPACE}+", " "))
 
 
 def words(text: Column) -> Column:
     """Whitespace-separated words; an empty text has none."""
-    return F.array_remove(F.split(squeeze(text), " "), "")
+    return F.array_remove(F.split(text, f"{UNICODE}{SPACE}+"), "")
 
 
 def first_word(text: Column) -> Column:
@@ -60,12 +62,12 @@ def to_amount(text: Column) -> Column:
 
 
 def to_int(text: Column) -> Column:
-    return _matching(text, r"[+-]?\d+").try_cast("int")
+    return _matching(text, r"[+-]?[0-9]+").try_cast("int")
 
 
 def _matching(text: Column, pattern: str) -> Column:
     """The trimmed text if all of it matches, else an empty text, which no number cast takes."""
-    return F.regexp_extract(text, rf"^{WHITESPACE}*({pattern}){WHITESPACE}*$", 1)
+    return F.regexp_extract(text, rf"{UNICODE}\A{SPACE}*({pattern}){SPACE}*\z", 1)
 
 
 def round_2dp(value: Column) -> Column:

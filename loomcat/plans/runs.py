@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from loomcat.operators.dedup import first_per_key, top_per_key
 from loomcat.schemas import RUNS
+from loomcat.session import setting
 from loomcat.sinks.catalog import CatalogDatabase
 
 DEFAULT_LIMIT = 100  # fixed value: items a read gives unless told otherwise
@@ -106,12 +107,9 @@ class RunStore:
         """
         columns = self.items().columns
         keys = [F.col(c) for c in ITEM_PARTITIONS]
-        (
-            items.hint("rebalance", *keys)
-            .select(*columns)
-            .write.option("partitionOverwriteMode", "dynamic")
-            .insertInto(self.db.qualified("run_items"), overwrite=True)
-        )
+        rows = items.hint("rebalance", *keys).select(*columns)
+        with setting(self.db.spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+            rows.write.insertInto(self.db.qualified("run_items"), overwrite=True)
         self.db.append(
             "runs",
             run_item_count(items).select(
