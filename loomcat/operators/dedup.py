@@ -21,7 +21,25 @@ def last_per_key(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     return first_per_key(df, keys, F.col(sequence).desc())
 
 
+# Fixed value: the largest rank Spark turns into a per-task limit before the shuffle by default.
+GROUP_LIMIT = 1000
+SHARES = 64
+
+
 def top_per_key(df: DataFrame, keys: list[str], limit: int, *order: Column) -> DataFrame:
-    """First ``limit`` rows per key with their ordinal; a report's limit, not a safety cap."""
+    """First ``limit`` rows per key with their ordinal; a report's limit, not a safety cap.
+
+    Small limits are applied by each task before the shuffle. Larger ones are not by Spark itself,
+    so each key is cut in shares first; what is left of a key is bounded by shares times limit.
+    """
+    nth = F.row_number()
+    if limit > GROUP_LIMIT:
+        share = Window.partitionBy(*keys, "_share").orderBy(*order)
+        df = (
+            df.withColumn("_share", F.spark_partition_id() % SHARES)
+            .withColumn("_nth", nth.over(share))
+            .filter(F.col("_nth") <= limit)
+            .drop("_share", "_nth")
+        )
     ranked = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("ordinal", F.row_number().over(ranked)).filter(F.col("ordinal") <= limit)
+    return df.withColumn("ordinal", nth.over(ranked)).filter(F.col("ordinal") <= limit)

@@ -75,33 +75,26 @@ def upsert_rows(
 ) -> DataFrame:
     """Product table after replacing by sku: the last incoming row of a sku wins.
 
-    A replaced row keeps its id and creation time. Rows without a sku never conflict, so they are
-    set aside before the join, where all of them would meet in one partition.
+    A replaced row keeps its id and creation time. Rows without a sku never conflict: each gets a
+    key of its own, which keeps all of them and spreads them over the join's partitions. Both
+    inputs are read once.
     """
-    payload = [c for c in target.columns if c not in ("id", "created_at", "sku")]
-    fresh = last_per_key(incoming.filter(F.col("sku").isNotNull()), ["sku"], sequence)
-    new = fresh.select("sku", F.struct(*payload).alias("_new"))
-    old = target.filter(F.col("sku").isNotNull()).select(
-        "sku", F.struct("id", "created_at", *payload).alias("_old")
-    )
-    merged = old.join(new, "sku", "full").select(
-        "sku",
-        F.col("_old.id").alias("id"),
-        F.when(F.col("_old").isNull(), created_at)
-        .otherwise(F.col("_old.created_at"))
-        .alias("created_at"),
-        *(
-            F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}"))
-            .otherwise(F.col(f"_old.{c}"))
-            .alias(c)
-            for c in payload
-        ),
-    )
-    unkeyed = incoming.filter(F.col("sku").isNull()).select(
-        F.lit(None).cast("bigint").alias("id"), created_at.alias("created_at"), "sku", *payload
-    )
-    kept = target.filter(F.col("sku").isNull())
-    return merged.unionByName(unkeyed).unionByName(kept).select(*target.columns)
+    payload = [c for c in target.columns if c not in ("id", "created_at")]
+
+    def keyed(rows: DataFrame, side: str) -> DataFrame:
+        own = F.concat(F.lit(f"\u0000{side}"), F.monotonically_increasing_id().cast("string"))
+        return rows.withColumn("_key", F.coalesce("sku", own))
+
+    fresh = last_per_key(keyed(incoming, "new"), ["_key"], sequence)
+    new = fresh.select("_key", F.struct(*payload).alias("_new"))
+    old = keyed(target, "old").select("_key", F.struct("id", "created_at", *payload).alias("_old"))
+    replaced, absent = F.col("_new").isNotNull(), F.col("_old").isNull()
+    values = {
+        "id": F.col("_old.id"),
+        "created_at": F.when(absent, created_at).otherwise(F.col("_old.created_at")),
+        **{c: F.when(replaced, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")) for c in payload},
+    }
+    return old.join(new, "_key", "full").select(*(values[c].alias(c) for c in target.columns))
 
 
 def upsert_products(

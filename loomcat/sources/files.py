@@ -42,6 +42,15 @@ def listing_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
+def listing_page_files(spark: SparkSession, root: str) -> DataFrame:
+    """Captured pages kept as HTML files under brand=.../category=.../start=... folders."""
+    return (
+        spark.read.schema("value STRING, brand STRING, category STRING, start INT")
+        .text(root, wholetext=True)
+        .select("brand", "category", "start", F.lit(True).alias("ok"), F.col("value").alias("html"))
+    )
+
+
 def detail_docs(spark: SparkSession, path: str) -> DataFrame:
     """Captured detail documents; an unsuccessful capture has no body."""
     return spark.read.schema(CAPTURE_SCHEMA).parquet(path)

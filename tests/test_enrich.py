@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcat.functions.details import detail_records
-from loomcat.operators.dedup import first_per_key, last_per_key
+from loomcat.operators.dedup import first_per_key, last_per_key, top_per_key
 from loomcat.operators.enrich import (
     detail_requests,
     enrich_products,
@@ -200,3 +200,12 @@ def test_one_row_per_key_reduces_before_the_shuffle(spark):
     plan = last_per_key(df, ["key"], "seq")._jdf.queryExecution().executedPlan().toString()
     exchange = plan.index("Exchange hashpartitioning")
     assert "Partial" in plan[exchange:]
+
+
+@pytest.mark.parametrize("limit", [3, 1500])
+def test_top_per_key_beyond_the_group_limit(spark, limit):
+    df = spark.range(4000).selectExpr("IF(id < 3000, 'hot', 'cold') AS key", "id").repartition(6)
+    rows = top_per_key(df, ["key"], limit, F.asc("id")).collect()
+    known = {("hot", i, i + 1) for i in range(min(limit, 3000))}
+    known |= {("cold", 3000 + i, i + 1) for i in range(min(limit, 1000))}
+    assert {(r["key"], r["id"], r["ordinal"]) for r in rows} == known and len(rows) == len(known)

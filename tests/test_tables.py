@@ -67,6 +67,14 @@ def test_dump(spark, tmp_path):
     assert sources.read_dump(spark, str(tmp_path / "absent.json"), schema).collect() == []
 
 
+def test_page_files(spark, tmp_path):
+    folder = tmp_path / "brand=B" / "category=007" / "start=12"
+    folder.mkdir(parents=True)
+    (folder / "page.html").write_text("<p>one\n</p>\n", "utf8")
+    rows = sources.listing_page_files(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in rows] == [("B", "007", 12, True, "<p>one\n</p>\n")]
+
+
 def test_configuration_files_of_both_layouts(spark, tmp_path):
     def put(path, body):
         target = tmp_path / path
