@@ -172,6 +172,13 @@ def tile_extract(spark, sf_dir):
     return explode_tiles(extracted(v.pages_a(spark, sf_dir), TILES_A), TILE_KEYS)
 
 
+def unescaped_sql(text: str) -> str:
+    """Character references of the given pages, which also cut some off before the semicolon."""
+    for entity, character in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{entity};?', '{character}', 'g')"
+    return text
+
+
 ARTICLES = TileSpec(
     "html", {"title": Field("title", "text"), "heading": Field("article h1", "text")}
 )
@@ -179,7 +186,7 @@ ARTICLES = TileSpec(
 
 @query(
     "tile_extract_web_pages",
-    """SELECT page_id, replace(title, '&amp;', '&') AS title, replace(heading, '&amp;', '&') AS heading FROM (
+    f"""SELECT page_id, {unescaped_sql("title")} AS title, {unescaped_sql("heading")} AS heading FROM (
       SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
       CASE WHEN html LIKE '%<h1%' THEN trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)) END AS heading
       FROM pages) p""",
@@ -613,11 +620,11 @@ def category_quota(spark, sf_dir):
 @query(
     "global_limit",
     f"""SELECT brand, page_category, CAST(start AS INT) AS start, CAST(pos AS INT) AS pos, sku_x AS sku FROM (
-      SELECT *, row_number() OVER (PARTITION BY brand ORDER BY cat_no, start, pos) AS place FROM (
+      SELECT *, row_number() OVER (PARTITION BY brand ORDER BY cat_no, start, pos) AS nth_of_brand FROM (
         SELECT a.*, product_limit, {QUOTA_SQL} AS quota,
           row_number() OVER (PARTITION BY a.brand, page_category ORDER BY start, pos) AS nth
         FROM kept_b a JOIN shops_b s ON a.brand = s.brand) q WHERE quota = 0 OR nth <= quota) g
-      WHERE product_limit = 0 OR place <= product_limit""",
+      WHERE product_limit = 0 OR nth_of_brand <= product_limit""",
 )
 def global_limit(spark, sf_dir):
     order = spark_rows(
