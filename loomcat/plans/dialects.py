@@ -6,6 +6,7 @@ code, tag data on the parent element and, later, a detail document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -171,7 +172,11 @@ DIALECT_B = Dialect(TILES_B, usable_tile_b, products_b)
 
 
 class Registry:
-    """Brand name to dialect, ignoring case. A new brand is a registration and a configuration."""
+    """Brand name to dialect, ignoring case. A new brand is a registration and a configuration.
+
+    A name may hold ``*`` for any characters, so that one entry covers a family of brands; the first
+    registered match counts.
+    """
 
     def __init__(self) -> None:
         self._dialects: dict[str, Dialect] = {}
@@ -180,14 +185,23 @@ class Registry:
         self._dialects[brand.lower()] = dialect
 
     def get(self, brand: str) -> Dialect | None:
-        return self._dialects.get(brand.lower())
+        for name, dialect in self._dialects.items():
+            if re.fullmatch(_pattern(name), brand.lower(), re.S):
+                return dialect
+        return None
+
+    def groups(self) -> list[tuple[Dialect, Column]]:
+        """Each dialect with the condition on ``brand`` for its brands, which share one job."""
+        grouped: dict[int, tuple[Dialect, Column]] = {}
+        earlier = F.lit(False)
+        for name, dialect in self._dialects.items():
+            matches = F.lower("brand").rlike(rf"(?s)\A(?:{_pattern(name)})\z")
+            own = matches & ~earlier
+            earlier = earlier | matches
+            known = grouped.get(id(dialect))
+            grouped[id(dialect)] = (dialect, known[1] | own if known else own)
+        return list(grouped.values())
 
-    def brands(self) -> list[str]:
-        return sorted(self._dialects)
 
-    def groups(self) -> list[tuple[Dialect, list[str]]]:
-        """Each dialect with its brands, so that all brands of a dialect share one job."""
-        grouped: dict[int, tuple[Dialect, list[str]]] = {}
-        for brand, dialect in sorted(self._dialects.items()):
-            grouped.setdefault(id(dialect), (dialect, []))[1].append(brand)
-        return list(grouped.values())
+def _pattern(name: str) -> str:
+    return ".*".join(re.escape(part) for part in name.split("*"))

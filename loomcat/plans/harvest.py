@@ -83,7 +83,6 @@ def harvest_limited(
 def harvest_all(pages: DataFrame, configs: DataFrame, registry: Registry) -> DataFrame:
     """Products of every registered brand in one job, one branch per dialect."""
     branches = []
-    for dialect, brands in registry.groups():
-        own = F.lower("brand").isin(brands)
+    for dialect, own in registry.groups():
         branches.append(harvest(pages.filter(own), configs.filter(own), dialect))
     return merge_datasets(branches)

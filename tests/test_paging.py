@@ -152,3 +152,15 @@ def test_harvest_all_dispatches_by_registry(spark):
     assert rows["alpha shop"]["fabric_type"] == "Lawn"
     assert rows["BETA"]["colors"] == ["Red"]
     assert registry.get("ALPHA shop") is DIALECT_A and registry.get("gamma") is None
+
+
+def test_registry_families(spark):
+    registry = Registry()
+    registry.register("shop.x", DIALECT_A)
+    registry.register("Shop*", DIALECT_B)
+    brands = spark.createDataFrame([("SHOP.X",), ("shop+x",), ("shopping",), ("other",)], "brand string")
+    names = {}
+    for dialect, own in registry.groups():
+        names[dialect is DIALECT_A] = {r["brand"] for r in brands.filter(own).collect()}
+    assert names == {True: {"SHOP.X"}, False: {"shop+x", "shopping"}}
+    assert registry.get("shop.X") is DIALECT_A and registry.get("Shop-1") is DIALECT_B
