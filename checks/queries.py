@@ -1004,7 +1004,7 @@ ITEM_COLUMNS = ["brand", "scrape_id", "item_no", "sku", "category", "status"]
 @query("brand_items", f"SELECT {ITEM_SQL}, nth AS ordinal FROM {FIRST_ITEMS} WHERE nth <= 100")
 def brand_items(spark, sf_dir):
     found = run_plans.brand_items(*month_runs(spark, sf_dir), "item_no")
-    return found.select(*ITEM_COLUMNS, "ordinal")
+    return found.select(*ITEM_COLUMNS, F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
 @query("by_category", f"SELECT {ITEM_SQL} FROM {FIRST_ITEMS} WHERE nth <= 100 AND category = 'N'")
