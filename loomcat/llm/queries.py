@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomcat.llm.decontaminate import find_leaks
+from loomcat.llm.pii import KINDS, digest, find_personal_data
 from loomcat.llm.quality import quality_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +38,8 @@ ORACLES["op5_quality_rules"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, lang, source FROM documents
 ), w AS (
-  SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+  SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
     length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols
   FROM d
 ), g AS (
@@ -45,7 +48,7 @@ WITH d AS (
 ), again AS (
   SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g) WHERE n > 1
 ), rep AS (
-  SELECT r, count(DISTINCT at) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS at FROM again) GROUP BY r
+  SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM again) GROUP BY r
 ), base AS (
   SELECT d.r, doc_id, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source,
     len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
@@ -85,3 +88,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   symbol_rate, dup_line_rate, repeat_rate
 FROM m LEFT JOIN t USING (lang, source)
 """
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the personal data in every document."""
+    found = find_personal_data(_documents(spark, sf_dir))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in KINDS], F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
+        digest(F.col("spans")).alias("spans"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("top_score"),
+    )
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap with benchmark items, and where."""
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
