@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcat.llm.decontaminate import find_leaks
+from loomcat.llm.packing import pack
 from loomcat.llm.pii import KINDS, digest, find_personal_data
 from loomcat.llm.quality import quality_verdicts
+from loomcat.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -109,3 +113,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap with benchmark items, and where."""
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    return pack(_documents(spark, sf_dir), TOKENIZER)
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return count_tokens(_documents(spark, sf_dir), TOKENIZER)
