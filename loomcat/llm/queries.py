@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcat.llm.decontaminate import find_leaks
+from loomcat.llm.lines import drop_repeated_lines
 from loomcat.llm.packing import pack
 from loomcat.llm.pii import KINDS, digest, find_personal_data
 from loomcat.llm.quality import quality_verdicts
 from loomcat.llm.token_counts import count_tokens
+from loomcat.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -125,3 +127,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return count_tokens(_documents(spark, sf_dir), TOKENIZER)
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat earlier ones."""
+    return drop_repeated_lines(_documents(spark, sf_dir)).select(
+        "doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped")
+    )
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of four folds."""
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
