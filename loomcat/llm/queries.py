@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomcat.llm.decontaminate import find_leaks
 from loomcat.llm.lines import drop_repeated_lines
 from loomcat.llm.packing import pack
+from loomcat.llm.pages import extract_main_text
 from loomcat.llm.pii import KINDS, digest, find_personal_data
 from loomcat.llm.quality import quality_verdicts
 from loomcat.llm.token_counts import count_tokens
@@ -141,3 +142,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of four folds."""
     return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
