@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomcat.llm.decontaminate import find_leaks
 from loomcat.llm.lines import drop_repeated_lines
+from loomcat.llm.near_dedup import near_duplicates
 from loomcat.llm.packing import pack
 from loomcat.llm.pages import extract_main_text
 from loomcat.llm.pii import KINDS, digest, find_personal_data
@@ -148,3 +149,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    return near_duplicates(_documents(spark, sf_dir))
