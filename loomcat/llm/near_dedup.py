@@ -160,31 +160,39 @@ def _pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """``key``, ``id`` and ``n`` of documents that share a table key; equal buckets appear once."""
-    keys = nodes.select("id", F.explode("left").alias("l"), "right").select(
+    """``key``, ``id`` and ``n`` of documents that share a table key; equal buckets appear once.
+
+    A table key can only be shared if both its halves are, so the half keys, which are few, are
+    counted first, and documents combine those that others have too.
+    """
+    halves = nodes.select("id", F.explode("left").alias("half"), F.lit(True).alias("is_left")).unionAll(
+        nodes.select("id", F.explode("right").alias("half"), F.lit(False).alias("is_left"))
+    )
+    common = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
+    left, right = F.when(F.col("is_left"), F.col("half")), F.when(~F.col("is_left"), F.col("half"))
+    usable = materialize(
+        halves.join(common, "half", "left_semi")
+        .groupBy("id")
+        .agg(F.collect_set(left).alias("left"), F.collect_set(right).alias("right")),  # 12 each at most
+        "halves",
+    )
+    keys = usable.select("id", F.explode("left").alias("l"), "right").select(
         "id", "l", F.explode("right").alias("r")
     )
-    keys = keys.select("id", "l", F.xxhash64("l", "r").alias("key"))
+    keys = keys.select("id", F.xxhash64("l", "r").alias("key"))
     shared = (
         keys.groupBy("key")
         .agg(
             F.count("*").alias("size"),
             F.min("id").alias("least"),
             F.max("id").alias("most"),
-            F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"),
-            F.first("l").alias("l"),
+            F.bit_xor(F.xxhash64("id")).alias("mark"),
         )
         .filter("least < most")
+        .groupBy("size", "least", "most", "mark")
+        .agg(F.min("key").alias("key"))
     )
-    shared = shared.groupBy("size", "least", "most", "sum").agg(F.min(F.struct("key", "l")).alias("x"))
-    shared = materialize(shared.select("size", "least", "most", "x.key", "x.l"), "buckets")
-    two = shared.filter("size = 2").select("key", F.explode(F.array("least", "most")).alias("id"))
-    # Larger buckets: first the left half keys, which are few, then the table keys they leave.
-    more = shared.filter("size > 2")
-    halves = nodes.select("id", F.explode("left").alias("l")).join(more.select("l").distinct(), "l", "left_semi")
-    again = halves.join(nodes.select("id", F.explode("right").alias("r")), "id")
-    rest = again.select("id", F.xxhash64("l", "r").alias("key")).join(more.select("key"), "key", "left_semi")
-    found = two.unionAll(rest.select("key", "id"))
+    found = keys.join(shared.select("key"), "key", "left_semi")
     return materialize(found.join(nodes.select("id", "n"), "id"), "members")
 
 

@@ -13,6 +13,7 @@ from loomcat.llm.lines import drop_repeated_lines
 from loomcat.llm.near_dedup import near_duplicates
 from loomcat.llm.packing import pack
 from loomcat.llm.pages import extract_main_text
+from loomcat.llm.passages import repeated_passages
 from loomcat.llm.pii import KINDS, digest, find_personal_data
 from loomcat.llm.quality import quality_verdicts
 from loomcat.llm.token_counts import count_tokens
@@ -155,3 +156,9 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
     return near_duplicates(_documents(spark, sf_dir))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that stand in an earlier document too."""
+    return repeated_passages(_documents(spark, sf_dir))

@@ -26,6 +26,13 @@ FREQUENT = 1 << 18
 LIMIT = 512
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, because a text takes far more room once it is split."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens`` and ``over_limit`` of every document."""
     spark = docs.sparkSession
@@ -45,7 +52,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, sizes = PreTokens(definition.value).split, common.value
-        for batch in batches:
+        for batch in _parts(batches):
             ids, prints, sums, names, times = [], [], [], [], []
             at = 0
             bases = []
@@ -103,7 +110,7 @@ def _pieces(texts: DataFrame, definition) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = PreTokens(definition.value).split
-        for batch in batches:
+        for batch in _parts(batches, 4000):
             found: Counter[str] = Counter()
             for value in batch["text"].to_pylist():
                 found.update(split(value))
