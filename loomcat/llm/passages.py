@@ -26,7 +26,7 @@ from loomcat.session import materialize
 
 K = 8
 WINDOW = 12
-GAP = 0.1
+GAP = 0.02
 MIN_WORDS = 50
 PERCENT = 80
 BAND = 12  # words by which aligned texts may be out of step
@@ -89,41 +89,53 @@ def _raise(tree: list[tuple[float, int]], r: int, value: tuple[float, int]) -> N
         r += r & -r
 
 
-def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Places of equal words in a longest common subsequence within a band around the diagonal."""
+def align(a: np.ndarray, b: np.ndarray, core: int) -> list[tuple[int, int]]:
+    """Places of equal words, in order in both, from the start on.
+
+    Runs of equal words are taken whole. Between them, the nearest place in a band at which two words
+    in a row agree again is looked for; where there is none, the alignment ends, unless it is still
+    among the first ``core`` words.
+    """
     out: list[tuple[int, int]] = []
     i = j = 0
     while i < len(a) and j < len(b):
         run = min(len(a) - i, len(b) - j)
-        differ = np.flatnonzero(a[i : i + run] != b[j : j + run])
-        same = int(differ[0]) if len(differ) else run
+        same, size = 0, 64
+        while same < run:
+            upto = min(run, same + size)
+            differ = np.flatnonzero(a[i + same : i + upto] != b[j + same : j + upto])
+            if len(differ):
+                same += int(differ[0])
+                break
+            same, size = upto, size * 4
         out.extend(zip(range(i, i + same), range(j, j + same), strict=True))
         i, j = i + same, j + same
-        if i >= len(a) or j >= len(b):
+        x, y = a[i : i + BAND + 2], b[j : j + BAND + 2]
+        if len(x) < 2 or len(y) < 2:
             break
-        # The nearest place at which two words in a row agree again; the fewest skipped words win.
-        x, y = a[i : i + BAND + 1], b[j : j + BAND + 1]
         equal = x[:, None] == y[None, :]
-        if len(x) > 1 and len(y) > 1:
-            firm = equal.copy()
-            firm[:-1, :-1] &= equal[1:, 1:]
-            equal = firm if firm.any() else equal
-        places = np.argwhere(equal)
-        if not len(places):
+        places = np.argwhere(equal[:-1, :-1] & equal[1:, 1:])
+        if len(places):
+            step = places[places.max(axis=1).argmin()]
+            i, j = i + int(step[0]), j + int(step[1])
+        elif i < core:
             i, j = i + 1, j + 1
-            continue
-        step = places[places.max(axis=1).argmin()]
-        i, j = i + int(step[0]), j + int(step[1])
+        else:
+            break
     return out
 
 
-def passage(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int] | None:
+def passage(a: np.ndarray, b: np.ndarray, first: int, last: int) -> tuple[int, int, int, int, int] | None:
     """The stretch of two slices in which most words are equal: its ends and their number.
 
+    The chain starts at ``first`` in both and ends before ``last`` in ours; the words before it are
+    aligned backwards from there.
     Equal words count what the threshold leaves over and others what it asks for, so that every
     stretch with a positive sum has enough equal words; the largest sum wins.
     """
-    pairs = align(a, b)
+    back = align(a[:first][::-1], b[:first][::-1], 0)
+    pairs = [(first - 1 - i, first - 1 - j) for i, j in back[::-1]]
+    pairs += [(first + i, first + j) for i, j in align(a[first:], b[first:], last - first)]
     best, total, begin = (0, 0, 0), 0, 0
     for n, (i, j) in enumerate(pairs):
         if n:
@@ -193,10 +205,10 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "n_equal"]
     for batch in batches:
         rows = []
-        columns = ("id", "begin", "other", "their_begin")
-        for n, (id_, begin, other, there) in enumerate(zip(*(batch[c].to_pylist() for c in columns), strict=True)):
+        columns = ("id", "begin", "other", "their_begin", "first", "last")
+        for n, (id_, begin, other, there, first, last) in enumerate(zip(*(batch[c].to_pylist() for c in columns), strict=True)):
             ours, theirs = batch["ours"][n].values.to_numpy(), batch["theirs"][n].values.to_numpy()
-            if found := passage(ours, theirs):
+            if found := passage(ours, theirs, first - begin, last + K - begin):
                 i0, i1, j0, j1, equal = found
                 rows.append((id_, begin + i0, begin + i1, other, there + j0, there + j1, equal))
         values = list(zip(*rows, strict=True)) or [[]] * len(names)
@@ -248,9 +260,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     theirs = F.slice("words", F.col("their_begin") + 1, F.col("their_last") + K + REACH - F.col("their_begin"))
     sliced = (
         candidates.join(words, "id")
-        .select("id", "begin", "other", "their_begin", "their_last", ours)
+        .select("id", "begin", "other", "their_begin", "their_last", "first", "last", ours)
         .join(words.select(F.col("id").alias("other"), "words"), "other")
-        .select("id", "begin", "other", "their_begin", "ours", theirs.alias("theirs"))
+        .select("id", "begin", "other", "their_begin", "first", "last", "ours", theirs.alias("theirs"))
     )
     out = "doc_id long, start long, end long, other_id long, other_start long, other_end long, n_equal long"
     whole = copies.filter(F.col("n") >= MIN_WORDS).select(
