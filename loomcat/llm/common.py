@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcat.session import materialize
@@ -12,6 +12,9 @@ from loomcat.session import materialize
 SPACE = r"[\x20\x09-\x0D]"  # fixed value: what separates words
 #: Rows a broadcast table may have; the callers' rows are under 200 bytes, so 20 MB at most.
 BROADCAST_ROWS = 100_000
+#: Bytes of texts that go to a Python worker at once; Spark's own bound is 64 MB, held several times over.
+BATCH_BYTES = "8m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -28,3 +31,9 @@ def if_small(table: DataFrame, label: str, rows: int = BROADCAST_ROWS) -> DataFr
     """The table, written once, marked for broadcast only if it has at most ``rows`` rows."""
     table = materialize(table, label)
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, in a session that left their size at Spark's default."""
+    if spark.conf.get(_BATCH_SETTING) == "67108864b":
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)

@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcat.llm.bpe import PreTokens
+from loomcat.llm.common import bound_batches
 from loomcat.session import materialize
 
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 LIMIT = 512
 
 
@@ -36,6 +37,7 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens`` and ``over_limit`` of every document."""
     spark = docs.sparkSession
+    bound_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = spark.sparkContext.broadcast(file.read())
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -110,7 +112,7 @@ def _pieces(texts: DataFrame, definition) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = PreTokens(definition.value).split
-        for batch in _parts(batches, 4000):
+        for batch in _parts(batches, 2000):
             found: Counter[str] = Counter()
             for value in batch["text"].to_pylist():
                 found.update(split(value))
