@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomcat.llm.common import bound_batches
 from loomcat.session import materialize
 
 MIN_WORDS = 10
@@ -195,6 +196,7 @@ def _near_lines(firsts: DataFrame, packed: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents without repeated lines, with ``_n_lines`` (that hold words) and ``_n_dropped``."""
+    bound_batches(docs.sparkSession)
     places = docs.select("doc_id", "text").mapInArrow(
         _places, "doc_id long, at int, h1 long, h2 long, head long, tail long"
     )

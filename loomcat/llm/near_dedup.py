@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcat.llm.common import if_small
+from loomcat.llm.common import bound_batches, if_small
 from loomcat.llm.graph import components
 from loomcat.session import materialize
 
@@ -206,6 +206,7 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every document."""
+    bound_batches(docs.sparkSession)
     signed = materialize(
         docs.select("doc_id", "text").mapInArrow(
             _signatures, "doc_id long, n_shingles long, s1 long, s2 long, left array<long>, right array<long>"

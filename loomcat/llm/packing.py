@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcat.llm.bpe import PreTokens
+from loomcat.llm.common import bound_batches
 from loomcat.session import materialize
 
 CAPACITY = 2048
@@ -38,6 +39,7 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def encode(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document with the checksum of their ids."""
+    bound_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -88,20 +90,22 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: in
     fewest = -(-int(lengths.sum()) // capacity)
     full = [b for b in bins if lengths[b].sum() == capacity]
     open_bins = [b for b in bins if lengths[b].sum() < capacity]
-    while len(full) + len(open_bins) > fewest and tries > 0 and len(open_bins) > 1:
+    stuck: list[list[int]] = []
+    while len(full) + len(open_bins) + len(stuck) > fewest and tries > 0 and len(open_bins) > 1:
         fills = np.array([lengths[b].sum() for b in open_bins])
         donor = int(fills.argmin())
         emptied, changed = _drain(open_bins, fills, donor, lengths, capacity)
         if emptied:
             open_bins.pop(donor)
         elif not changed:
-            # Nothing improves this one any more; the others go on without it.
-            full.append(open_bins.pop(donor))
+            # Nothing improves this one until another sequence has changed.
+            stuck.append(open_bins.pop(donor))
             tries -= 1
-        still = [b for b in open_bins if lengths[b].sum() < capacity]
+        if changed:
+            open_bins, stuck = open_bins + stuck, []
         full += [b for b in open_bins if lengths[b].sum() == capacity]
-        open_bins = still
-    return full + open_bins
+        open_bins = [b for b in open_bins if lengths[b].sum() < capacity]
+    return full + open_bins + stuck
 
 
 def _drain(

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomcat.llm.common import bound_batches
 from loomcat.llm.near_dedup import _P1, _mix, word_hashes
 from loomcat.session import materialize
 
@@ -220,6 +221,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     A row may overlap with another of the same pair, if the passage occurs more than once in it.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").alias("id"), "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     same = ["h1", "h2", "size"]
     marks = materialize(
