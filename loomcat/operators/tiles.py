@@ -2,7 +2,8 @@
 
 The one stage that leaves the JVM: a page's HTML is walked in ``mapInArrow`` and comes back as one
 row per page with an array of raw tile strings. Pages are independent, so the stage has no shuffle
-and no state, and everything after it is native. Tags left open are closed with their ancestor.
+and no state, and everything after it is native. Tags left open are closed with their ancestor, or
+where the next list item, cell, row, option or block ends them by HTML's rules.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html import unescape
+from html.entities import html5
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -54,44 +56,77 @@ def tile_type(spec: TileSpec) -> T.StructType:
     return T.StructType(columns)
 
 
+_COMPOUND = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)?((?:[.#][\w-]+)*)")
+
+
+class _Rule(NamedTuple):
+    """One part of a selector: what the element must be, and what must stand above it."""
+
+    needed: int
+    child: bool
+    bit: int
+    tag: str | None
+    classes: frozenset[str]
+    id: str | None
+    final: str | None
+
+
 class _Selectors:
-    """Descendant selectors of tags and classes, matched by bits handed down the open elements.
+    """Selectors of tags, classes and ids, as descendants or children, matched by bits.
 
-    Bit i of a selector says that its first i+1 parts are matched along the way from the root.
+    Bit i of a selector says that its first i+1 parts are matched along the way from the root. Open
+    elements hand all bits down; for a child, only those count that its parent set itself.
     """
 
     def __init__(self, selectors: list[str]):
-        self.by_tag: dict[str, list[tuple[int, int, str | None, str | None]]] = {}
-        self.by_class: dict[str, list[tuple[int, int, str | None, str | None]]] = {}
+        self.by_tag: dict[str, list[_Rule]] = {}
+        self.by_class: dict[str, list[_Rule]] = {}
+        self.by_id: dict[str, list[_Rule]] = {}
         bit = 1
         for selector in selectors:
             for alternative in selector.split(","):
-                parts = alternative.split()
+                parts = re.sub(r"\s*>\s*", " >", alternative.strip()).split()
                 needed = 0
                 for i, part in enumerate(parts):
-                    tag, _, css_class = part.partition(".")
+                    name = part.removeprefix(">")
+                    compound = _COMPOUND.fullmatch(name)
+                    if not name or not compound or (i == 0 and name != part):
+                        raise ValueError(f"selector not supported: {selector!r}")
+                    classes = re.findall(r"\.([\w-]+)", compound[2])
+                    ids = re.findall(r"#([\w-]+)", compound[2])
+                    tag = compound[1].lower() if compound[1] else None
                     final = selector if i == len(parts) - 1 else None
-                    rule = (needed, bit, tag or None, final)
-                    if css_class:
-                        self.by_class.setdefault(css_class, []).append(rule)
+                    rule = _Rule(
+                        needed, name != part, bit, tag, frozenset(classes), ids[0] if ids else None, final
+                    )
+                    if classes:
+                        self.by_class.setdefault(classes[0], []).append(rule)
+                    elif ids:
+                        self.by_id.setdefault(ids[0], []).append(rule)
                     else:
                         self.by_tag.setdefault(tag, []).append(rule)
                     needed, bit = bit, bit << 1
 
-    def match(self, tag: str, classes: Iterable[str], inherited: int) -> tuple[int, list[str]]:
-        mask, hits = inherited, []
-        for needed, bit, _, final in self.by_tag.get(tag, ()):
-            if inherited & needed == needed:
-                mask |= bit
-                if final:
-                    hits.append(final)
+    def match(
+        self, tag: str, classes: Iterable[str], id_: str | None, inherited: int, parents: int
+    ) -> tuple[int, list[str]]:
+        """Bits the element sets itself, and the selectors it fits."""
+        own, hits = 0, []
+        rules = [*self.by_tag.get(tag, ()), *self.by_id.get(id_, ())]
         for css_class in classes:
-            for needed, bit, only_tag, final in self.by_class.get(css_class, ()):
-                if inherited & needed == needed and only_tag in (None, tag):
-                    mask |= bit
-                    if final:
-                        hits.append(final)
-        return mask, hits
+            rules.extend(self.by_class.get(css_class, ()))
+        for rule in rules:
+            above = parents if rule.child else inherited
+            if (
+                above & rule.needed == rule.needed
+                and rule.tag in (None, tag)
+                and rule.id in (None, id_)
+                and rule.classes.issubset(classes)
+            ):
+                own |= rule.bit
+                if rule.final:
+                    hits.append(rule.final)
+        return own, hits
 
 
 _ATTRIBUTE = r"""[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*))?"""
@@ -102,14 +137,47 @@ _NAME_VALUE = re.compile(
     r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|((?!["'])[^\s>]*)))?"""
 )
 _RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW_TEXT_TAGS}
+_IN_VALUE = re.compile(r"""=\s*[^\s"'>]+$""")  # the tag ends within an unquoted value
+_REFERENCE = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*+(?:;|(?!=)))")
+
+# The open elements that a start tag ends, and what it does not reach beyond.
+_CELLS, _ROWS, _TABLE = ("td", "th"), ("td", "th", "tr"), frozenset(["table"])
+_SECTIONS = (*_ROWS, "tbody", "thead", "tfoot")
+_ENDS = {
+    "li": (("li",), frozenset(["ul", "ol", "menu"])),
+    "dt": (("dt", "dd"), frozenset(["dl"])),
+    "dd": (("dt", "dd"), frozenset(["dl"])),
+    "option": (("option",), frozenset(["select", "datalist"])),
+    "optgroup": (("option", "optgroup"), frozenset(["select"])),
+    "td": (_CELLS, _TABLE),
+    "th": (_CELLS, _TABLE),
+    "tr": (_ROWS, _TABLE),
+    "tbody": (_SECTIONS, _TABLE),
+    "thead": (_SECTIONS, _TABLE),
+    "tfoot": (_SECTIONS, _TABLE),
+}
+_ENDS_PARAGRAPH = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer "
+    "form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
+)
+_AROUND_PARAGRAPH = frozenset("button caption html object table td template th".split())
+
+
+def _decoded(match: re.Match) -> str:
+    name = match[1]
+    return unescape(match[0]) if name[0] == "#" else html5.get(name, match[0])
 
 
 @lru_cache(maxsize=4096)
 def _attributes(source: str) -> dict[str, str]:
-    """Attributes of a start tag; the first of equal names counts, a bare name is empty."""
+    """Attributes of a start tag; the first of equal names counts, a bare name is empty.
+
+    A character reference without its semicolon stays as it is before a letter, digit or ``=``, so
+    that the parameters of an address are not taken for one.
+    """
     found: dict[str, str] = {}
     for name, double, single, bare in _NAME_VALUE.findall(source):
-        found.setdefault(name.lower(), unescape(double or single or bare))
+        found.setdefault(name.lower(), _REFERENCE.sub(_decoded, double or single or bare))
     return found
 
 
@@ -138,7 +206,8 @@ class _TileWalker:
         self.tiles: list[dict] = []
         self.open_tiles: list[tuple[int, dict, set]] = []  # depth, values, selectors seen
         self.captures: list[tuple[int, list[str], dict, str]] = []  # depth, pieces, values, name
-        self.stack: list[tuple[str, int, str]] = []  # tag, mask, attribute text
+        self.stack: list[tuple[str, int, str, int]] = []  # tag, mask, attribute text, own bits
+        self.paragraphs = 0  # open ones
         self.stopped = False
         position = 0
         while token := _TOKEN.search(html, position):
@@ -162,17 +231,36 @@ class _TileWalker:
         return self.tiles, self.stopped
 
     def _start(self, tag: str, attributes: str) -> None:
-        stack = self.stack
-        inherited = stack[-1][1] if stack else 0
-        mask = inherited
-        opens = tag not in VOID_TAGS and not attributes.endswith("/")
-        if tag in self.selectors.by_tag or "class" in attributes.lower():
-            classes = _attributes(attributes).get("class", "").split() if attributes else []
-            mask, hits = self.selectors.match(tag, dict.fromkeys(classes), inherited)
+        stack, selectors = self.stack, self.selectors
+        if tag in _ENDS:
+            self._imply_end(*_ENDS[tag])
+        if self.paragraphs and tag in _ENDS_PARAGRAPH:
+            self._imply_end(("p",), _AROUND_PARAGRAPH)
+        inherited, parents = (stack[-1][1], stack[-1][3]) if stack else (0, 0)
+        own = 0
+        opens = tag not in VOID_TAGS and not (attributes.endswith("/") and not _IN_VALUE.search(attributes))
+        lowered = attributes.lower()
+        if tag in selectors.by_tag or "class" in lowered or (selectors.by_id and "id" in lowered):
+            values = _attributes(attributes) if attributes else {}
+            classes = dict.fromkeys(values.get("class", "").split())
+            own, hits = selectors.match(tag, classes, values.get("id"), inherited, parents)
             if hits:
                 self._take(hits, attributes, len(stack), opens)
         if opens:
-            stack.append((tag, mask, attributes))
+            stack.append((tag, inherited | own, attributes, own))
+            self.paragraphs += tag == "p"
+
+    def _imply_end(self, ended: tuple[str, ...], around: frozenset[str]) -> None:
+        """End the outermost open element of the kinds ``ended`` within the nearest one of ``around``."""
+        found = None
+        for depth in range(len(self.stack) - 1, -1, -1):
+            tag = self.stack[depth][0]
+            if tag in around:
+                break
+            if tag in ended:
+                found = depth
+        if found is not None:
+            self._cut(found)
 
     def _take(self, hits: list[str], source: str, depth: int, opens: bool) -> None:
         for _, values, seen in self.open_tiles:
@@ -210,11 +298,16 @@ class _TileWalker:
     def _end(self, tag: str) -> None:
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
-                del self.stack[depth:]
-                if self.captures or self.open_tiles:
-                    self._close_from(depth)
+                self._cut(depth)
                 return
 
+    def _cut(self, depth: int) -> None:
+        if self.paragraphs:
+            self.paragraphs -= sum(element[0] == "p" for element in self.stack[depth:])
+        del self.stack[depth:]
+        if self.captures or self.open_tiles:
+            self._close_from(depth)
+
     def _close_from(self, depth: int) -> None:
         """Close every tile and text capture at or below ``depth``."""
         while self.open_tiles and self.open_tiles[-1][0] >= depth:
