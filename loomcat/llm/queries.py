@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomcat.llm.alignment import align
+from loomcat.llm.collocations import collocations
 from loomcat.llm.decontaminate import find_leaks
 from loomcat.llm.lines import drop_repeated_lines
 from loomcat.llm.near_dedup import near_duplicates
@@ -18,9 +20,12 @@ from loomcat.llm.pii import KINDS, digest, find_personal_data
 from loomcat.llm.quality import quality_verdicts
 from loomcat.llm.token_counts import count_tokens
 from loomcat.llm.toxicity import toxicity
+from loomcat.llm.word_bpe import encode
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -162,3 +167,73 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that stand in an earlier document too."""
     return repeated_passages(_documents(spark, sf_dir))
+
+
+@query
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of the alignment of two tokenizers on every document."""
+
+    def digest_of(groups: Column) -> Column:
+        return F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+
+    aligned = align(_documents(spark, sf_dir), TOKENIZER, PIECES, describe=digest_of)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text that they decode to, as digests."""
+    return encode(_documents(spark, sf_dir), WORDS, decoded=True).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two to five words of every language."""
+    return collocations(_documents(spark, sf_dir))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH piece AS (
+  SELECT row_number() OVER () AS p, lang,
+    list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+  )
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang
+), gram AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+    FROM piece, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)
+), f AS (
+  SELECT lang, k, phrase, count(*)::BIGINT AS n FROM gram GROUP BY ALL HAVING count(*) >= 100
+), candidate AS (
+  SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), cut AS (
+  SELECT c.lang, c.phrase, c.a, c.k, cut, l.n AS l, r.n AS r, total.n AS n,
+    (1000::HUGEINT * c.a * total.n) // (l.n::HUGEINT * r.n) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidate) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')
+  JOIN total ON total.lang = c.lang
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_part AS (
+  SELECT lang, a, array_to_string(w[i:i + s - 1], ' ') AS phrase
+  FROM (SELECT lang, a, w, k, s, unnest(range(1, k - s + 2)) AS i
+    FROM (SELECT *, unnest(range(2, k)) AS s FROM candidate WHERE k > 2))
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN (SELECT lang, phrase, max(a) AS within FROM inner_part GROUP BY ALL) USING (lang, phrase)
+  WHERE within IS NULL OR 100 * within < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+  score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
