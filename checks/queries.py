@@ -91,8 +91,14 @@ def base_b() -> Column:
 
 
 def shops(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """Brand configuration of one dialect's shops."""
-    return spark_rows(spark, sf_dir, f"SELECT * FROM shops_{side}")
+    """Configuration of one dialect's shops, with their categories in order."""
+    listed = spark_rows(spark, sf_dir, f"SELECT DISTINCT brand, page_category, cat_no FROM v{side}")
+    categories = F.transform(
+        F.array_sort(F.collect_list(F.struct("cat_no", "page_category"))),
+        lambda c: F.struct(c["page_category"], c["cat_no"].cast("string")),
+    )
+    shown = listed.groupBy("brand").agg(F.map_from_entries(categories).alias("categories"))
+    return spark_rows(spark, sf_dir, f"SELECT * FROM shops_{side}").drop("n_categories").join(shown, "brand")
 
 
 def every_shop() -> Registry:
@@ -571,7 +577,7 @@ PRODUCT_B_SQL = """brand, 'id_' || brand AS brand_id, page_category, CAST(start
 )
 def discounted_in_stock(spark, sf_dir):
     """Discounted products in stock per category, from captured pages."""
-    products = plans.harvest(v.pages_a(spark, sf_dir), shops(spark, sf_dir, "a"), DIALECT_A)
+    products = plans.harvest(v.captured_a(spark, sf_dir), shops(spark, sf_dir, "a"), DIALECT_A)
     return (
         products.filter("on_sale AND in_stock")
         .groupBy("category")
@@ -581,12 +587,12 @@ def discounted_in_stock(spark, sf_dir):
 
 @query("harvest_a", f"SELECT {PRODUCT_A_SQL} FROM kept_a")
 def harvest_a(spark, sf_dir):
-    return piped_all(plans.harvest(v.pages_a(spark, sf_dir), shops(spark, sf_dir, "a"), DIALECT_A))
+    return piped_all(plans.harvest(v.captured_a(spark, sf_dir), shops(spark, sf_dir, "a"), DIALECT_A))
 
 
 @query("harvest_b", f"SELECT {PRODUCT_B_SQL} FROM kept_b")
 def harvest_b(spark, sf_dir):
-    return piped_all(plans.harvest(v.pages_b(spark, sf_dir), shops(spark, sf_dir, "b"), DIALECT_B))
+    return piped_all(plans.harvest(v.captured_b(spark, sf_dir), shops(spark, sf_dir, "b"), DIALECT_B))
 
 
 @query(
@@ -594,22 +600,21 @@ def harvest_b(spark, sf_dir):
     "SELECT brand, page_category AS category, CAST(start AS INT) AS start, CAST(n AS INT) AS n_products FROM kept_pages_a",
 )
 def page_prefix(spark, sf_dir):
-    return plans.kept_pages(v.pages_a(spark, sf_dir), shops(spark, sf_dir, "a"), DIALECT_A).select(
+    return plans.kept_pages(v.captured_a(spark, sf_dir), shops(spark, sf_dir, "a"), DIALECT_A).select(
         *TILE_KEYS, "n_products"
     )
 
 
-QUOTA_SQL = "CASE WHEN product_limit <= 0 THEN 0 WHEN n_categories <= 1 THEN product_limit ELSE CAST(floor(product_limit / n_categories) AS BIGINT) END"
-
-
 @query(
     "category_quota",
-    f"""SELECT brand, page_category AS category, CAST(start AS INT) AS start, CAST(pos AS INT) AS pos FROM (
-      SELECT a.*, {QUOTA_SQL} AS quota, row_number() OVER (PARTITION BY a.brand, page_category ORDER BY start, pos) AS nth
+    """SELECT brand, page_category AS category, CAST(start AS INT) AS start, CAST(pos AS INT) AS pos FROM (
+      SELECT a.*, CASE WHEN product_limit <= 0 THEN 0 WHEN n_categories <= 1 THEN product_limit
+          ELSE CAST(floor(product_limit / n_categories) AS BIGINT) END AS quota,
+        row_number() OVER (PARTITION BY a.brand, page_category ORDER BY start, pos) AS nth
       FROM kept_a a JOIN shops_a s ON a.brand = s.brand) q WHERE quota = 0 OR nth <= quota""",
 )
 def category_quota(spark, sf_dir):
-    kept = plans.kept_pages(v.pages_a(spark, sf_dir), shops(spark, sf_dir, "a"), DIALECT_A)
+    kept = plans.kept_pages(v.captured_a(spark, sf_dir), shops(spark, sf_dir, "a"), DIALECT_A)
     quota = paging.category_quota(F.col("product_limit"), F.col("n_categories"))
     cut = paging.apply_quota(kept, "products", F.col("page_size"), quota, ["brand", "category"])
     return cut.select(*TILE_KEYS, F.explode("products.pos").alias("pos"))
@@ -617,22 +622,15 @@ def category_quota(spark, sf_dir):
 
 @query(
     "global_limit",
-    f"""SELECT brand, page_category, CAST(start AS INT) AS start, CAST(pos AS INT) AS pos, sku_x AS sku FROM (
-      SELECT *, row_number() OVER (PARTITION BY brand ORDER BY cat_no, start, pos) AS nth_of_brand FROM (
-        SELECT a.*, product_limit, {QUOTA_SQL} AS quota,
-          row_number() OVER (PARTITION BY a.brand, page_category ORDER BY start, pos) AS nth
-        FROM kept_b a JOIN shops_b s ON a.brand = s.brand) q WHERE quota = 0 OR nth <= quota) g
-      WHERE product_limit = 0 OR nth_of_brand <= product_limit""",
+    """SELECT brand, page_category, CAST(start AS INT) AS start, CAST(pos AS INT) AS pos, sku_x AS sku FROM limited_b
+      UNION ALL SELECT brand, page_category, CAST(start AS INT), CAST(pos AS INT), sku_x FROM limited_a""",
 )
 def global_limit(spark, sf_dir):
-    order = spark_rows(
-        spark, sf_dir,
-        "SELECT DISTINCT brand, page_category AS category, cat_no AS category_no FROM vb",
-    )
-    limited = plans.harvest_limited(
-        v.pages_b(spark, sf_dir), shops(spark, sf_dir, "b"), DIALECT_B, order
-    )
-    return limited.select("brand", "page_category", "start", "pos", "sku")
+    limited = [
+        plans.harvest_limited(v.captured_b(spark, sf_dir), shops(spark, sf_dir, "b"), DIALECT_B),
+        plans.harvest_limited(v.captured_a(spark, sf_dir), shops(spark, sf_dir, "a"), DIALECT_A),
+    ]
+    return sets.merge_datasets([x.select("brand", "page_category", "start", "pos", "sku") for x in limited])
 
 
 @query(
@@ -641,7 +639,7 @@ def global_limit(spark, sf_dir):
       FROM (SELECT brand, page_category, count(*) AS n_products FROM kept_b GROUP BY brand, page_category) c""",
 )
 def category_counts(spark, sf_dir):
-    products = plans.harvest(v.pages_b(spark, sf_dir), shops(spark, sf_dir, "b"), DIALECT_B)
+    products = plans.harvest(v.captured_b(spark, sf_dir), shops(spark, sf_dir, "b"), DIALECT_B)
     return paging.category_counts(products, ["brand", "page_category"], ["page_category"])
 
 
@@ -655,25 +653,58 @@ def all_categories(spark, sf_dir):
     return sets.merge_datasets([listed, listed.withColumn("page_category", F.lit("sale"))])
 
 
-ALL_BRANDS_SQL = """SELECT 'id_' || brand AS brand_id, sku_x AS sku, name, price_x AS price FROM kept_a
-  UNION ALL SELECT 'id_' || brand, sku_x, name, price_x FROM kept_b"""
-
-
-def all_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = sets.merge_datasets([v.pages_a(spark, sf_dir), v.pages_b(spark, sf_dir)])
+BRAND_HIT = "enhance_with_details AND enriched_x AND sku_x <> '' AND suffix <> ''"
+ALL_BRANDS_SQL = f"""SELECT coalesce(CASE WHEN p.brand <> 'shop_a_1' THEN 'id_' || p.brand END, d.id) AS brand_id,
+    CASE WHEN d.id IS NULL THEN p.brand END AS brand, sku, p.name, category, price, price_current, in_stock, launch_time,
+    coalesce(has_detailed_info, false) AS has_detailed_info
+  FROM (
+    SELECT brand, sku_x AS sku, name, category_x AS category, price_x AS price, CAST(NULL AS DOUBLE) AS price_current,
+      in_stock_x AS in_stock, NULL AS launch_time, false AS has_detailed_info FROM limited_a
+    UNION ALL SELECT brand, sku_x, CASE WHEN hit THEN d_name_x ELSE name END,
+      CASE WHEN hit THEN enriched_category_x ELSE coalesce(name_category_x, listed_category_x) END, price_x,
+      CASE WHEN hit THEN current_x END, CASE WHEN hit THEN in_stock_d END, CASE WHEN hit THEN launch_time_x END, hit
+    FROM (SELECT l.brand, l.k, sku_x, name, name_category_x, listed_category_x, price_x, d_name_x, enriched_category_x,
+        current_x, in_stock_d, launch_time_x, {BRAND_HIT} AS hit
+      FROM limited_b l JOIN shops_b s ON l.brand = s.brand
+      JOIN (SELECT k AS dk, enriched_x, d_name_x, enriched_category_x, current_x, in_stock_x AS in_stock_d, launch_time_x
+        FROM vdy) y ON l.k = dk) b
+  ) p LEFT JOIN (SELECT * FROM shop_dim WHERE seq = 2) d ON lower(p.brand) = lower(d.name)"""
+
+
+def whole_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shops of both dialects, with the details and ids that a harvest of all brands joins."""
+    pages = sets.merge_datasets([v.captured_a(spark, sf_dir), v.captured_b(spark, sf_dir)])
     shops_all = sets.merge_datasets([shops(spark, sf_dir, "a"), shops(spark, sf_dir, "b")])
-    return plans.harvest_all(pages, shops_all, every_shop())
+    own_id = F.when(F.col("brand") != "shop_a_1", F.col("brand_id"))
+    return plans.harvest_all(
+        pages,
+        shops_all.withColumn("brand_id", own_id),
+        every_shop(),
+        captures=v.captures(spark, sf_dir, "brand"),
+        brand_dim=spark_rows(spark, sf_dir, "SELECT * FROM shop_dim"),
+        as_of=as_of(),
+    )
 
 
 @query("all_brands", ALL_BRANDS_SQL)
 def all_brands(spark, sf_dir):
-    tagged = brands.tag_brand(all_products(spark, sf_dir), "unused")
-    return tagged.select("brand_id", "sku", "name", "price")
+    return whole_harvest(spark, sf_dir).select(
+        "brand_id", "brand", "sku", "name", "category", "price", "price_current", "in_stock", "launch_time",
+        F.coalesce("has_detailed_info", F.lit(False)).alias("has_detailed_info"),
+    )
 
 
-@query("brand_transform", "SELECT brand, count(*) AS n FROM (SELECT brand FROM kept_a UNION ALL SELECT brand FROM kept_b) b GROUP BY brand")
+@query(
+    "brand_transform",
+    """SELECT brand, sku_x AS sku, name, slug_x AS slug, price_x AS price, original_x AS original_price, url_x AS url FROM kept_b
+      UNION ALL SELECT brand, sku_x, name, replace(replace(lower(name), ' ', '-'), '--', '-'), price_x, original_x, url_x FROM kept_a""",
+)
 def brand_transform(spark, sf_dir):
-    return all_products(spark, sf_dir).groupBy("brand").agg(F.count("*").alias("n"))
+    """Each shop read by its registered dialect and its own selectors; limits are lifted."""
+    pages = sets.merge_datasets([v.captured_a(spark, sf_dir), v.captured_b(spark, sf_dir)])
+    shops_all = sets.merge_datasets([shops(spark, sf_dir, "a"), shops(spark, sf_dir, "b")])
+    found = plans.harvest_all(pages, shops_all.drop("product_limit"), every_shop())
+    return found.select("brand", "sku", "name", "slug", "price", "original_price", "url")
 
 
 # ---------------------------------------------------------------- projections and filters
@@ -1240,6 +1271,6 @@ def backfill_image(spark, sf_dir):
 )
 def harvest_enriched(spark, sf_dir):
     """Dialect B end to end: pages to products, then joined to their detail documents."""
-    listed = plans.harvest(v.pages_b(spark, sf_dir), shops(spark, sf_dir, "b"), DIALECT_B)
+    listed = plans.harvest(v.captured_b(spark, sf_dir), shops(spark, sf_dir, "b"), DIALECT_B)
     products = listed.select(*PRODUCT_B.fieldNames())
     return piped_all(enrich.enrich_products(products, detail_rows(spark, sf_dir)))

@@ -63,6 +63,7 @@ VIEWS["va1"] = f"""
 SELECT *, 'shop_a_' || {_text(_int("cat_no / 2"))} AS brand, {_int("cat_no / 2")} AS brand_no,
   'cat_' || {_text("cat_no")} AS page_category, page_no * {PAGE_A} AS start,
   page_id % 31 <> 17 AS ok, page_id % 37 = 20 AS no_results,
+  page_id % 41 = 33 OR page_id % 157 = 120 AS missing,
   CASE WHEN style = '' THEN '' ELSE style || gap END AS lead,
   k % 997 <> 500 AS named, k % 991 = 480 AS bad_price,
   CASE WHEN k % 10 = 0 THEN NULL ELSE 'A' || {_text("k")} END AS tile_pid,
@@ -138,6 +139,7 @@ FROM base
 
 VIEWS["vb1"] = f"""
 SELECT *, page_no * {PAGE_B} AS start, page_id % 23 <> 15 AS ok, page_id % 29 = 12 AS no_results,
+  page_id % 39 = 17 OR page_id % 97 = 40 AS missing,
   'shop_b_' || {_text(_int("cat_no / 3"))} AS brand, {_int("cat_no / 3")} AS brand_no,
   CASE WHEN cat_no % 3 = 0 THEN 'fabrics' ELSE 'ready_' || {_text("cat_no")} END AS page_category,
   code || suffix AS sku_full, k % 983 <> 100 AS named, k % 991 = 300 AS odd_tag,
@@ -298,19 +300,45 @@ FROM va LEFT JOIN @events ON event_id = k
 """
 
 
-for _view, _size in (("va", PAGE_A), ("vb", PAGE_B)):
-    _side = _view[1]
-    VIEWS[f"shops_{_side}"] = f"""
-SELECT brand, 'id_' || brand AS brand_id, '{BASE_A if _side == "a" else BASE_B}' AS base_url,
-  {_size} AS page_size, count(DISTINCT page_category) AS n_categories,
+# What the shops of dialect B with another markup configure.
+OTHER_MARKUP = {
+    "product_selector": "article.card",
+    "name_selector": "h3.title",
+    "product_brand_selector": ".maker",
+    "pdp_link_selector": "a.go",
+    "price_selector": ".cost > .now",
+    "original_price_selector": ".cost .was",
+}
+VIEWS["shops_a"] = f"""
+SELECT brand, max(brand_no) AS brand_no, 'id_' || brand AS brand_id, '{BASE_A}' AS base_url,
+  {PAGE_A} AS page_size, count(DISTINCT page_category) AS n_categories,
   CASE max(brand_no) % 4 WHEN 0 THEN 50 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 101 END AS product_limit
-FROM {_view} GROUP BY brand
+FROM va GROUP BY brand
+"""
+_selectors = ", ".join(
+    f"CASE WHEN max(brand_no) % 2 = 1 THEN '{selector}' END AS {column}" for column, selector in OTHER_MARKUP.items()
+)
+VIEWS["shops_b"] = f"""
+SELECT brand, max(brand_no) AS brand_no, 'id_' || brand AS brand_id, '{BASE_B}' AS base_url,
+  {PAGE_B} AS page_size, count(DISTINCT page_category) AS n_categories,
+  CASE max(brand_no) % 4 WHEN 0 THEN 50 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 101 END AS product_limit,
+  max(brand_no) % 4 <> 1 AS enhance_with_details, {_selectors}
+FROM vb GROUP BY brand
+"""
+# Ids of some shops, written in another case and with an older id first.
+VIEWS["shop_dim"] = f"""
+SELECT CASE WHEN seq = 1 THEN 'old_' ELSE 'dim_' END || brand AS id, upper(brand) AS name, CAST(seq AS BIGINT) AS seq
+FROM (SELECT brand, brand_no FROM shops_a UNION ALL SELECT brand, brand_no FROM shops_b) s
+CROSS JOIN (SELECT 1 AS seq UNION ALL SELECT 2 AS seq) n
+WHERE brand_no % 3 <> 0
 """
+for _view, _size in (("va", PAGE_A), ("vb", PAGE_B)):
+    _side = _view[1]
     # The stop rule as a running window, for comparison only.
     VIEWS[f"page_counts_{_side}"] = f"""
-SELECT brand, cat_no, page_category, start, ok, no_results,
+SELECT brand, cat_no, page_category, start, ok AND NOT missing AS ok, no_results,
   CAST(sum(CASE WHEN usable_x THEN 1 ELSE 0 END) AS BIGINT) AS n
-FROM {_view} GROUP BY brand, cat_no, page_category, start, ok, no_results
+FROM {_view} GROUP BY brand, cat_no, page_category, start, ok, missing, no_results
 """
     VIEWS[f"kept_pages_{_side}"] = f"""
 SELECT brand, page_category, start, n FROM (
@@ -323,6 +351,16 @@ WHERE clear = 1 AND ok AND NOT no_results AND n > 0
 SELECT v.* FROM {_view} v JOIN kept_pages_{_side} p
   ON v.brand = p.brand AND v.page_category = p.page_category AND v.start = p.start
 WHERE usable_x
+"""
+    # Shares and limits as running numbers over products, for comparison only.
+    VIEWS[f"limited_{_side}"] = f"""
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY brand ORDER BY cat_no, start, pos) AS nth_of_brand FROM (
+    SELECT v.*, product_limit, CASE WHEN product_limit <= 0 THEN 0 WHEN n_categories <= 1 THEN product_limit
+        ELSE CAST(floor(product_limit / n_categories) AS BIGINT) END AS quota,
+      row_number() OVER (PARTITION BY v.brand, page_category ORDER BY start, pos) AS nth
+    FROM kept_{_side} v JOIN shops_{_side} s ON v.brand = s.brand) q WHERE quota = 0 OR nth <= quota) g
+WHERE product_limit = 0 OR nth_of_brand <= product_limit
 """
 
 
@@ -396,9 +434,26 @@ TILE_B = f"""
 """
 
 
-def rendered_pages(spark: SparkSession, sf_dir: str, view: str, tile: str) -> DataFrame:
-    """Listing pages of all rows of a view; a page holds one page's worth of tiles."""
-    tiles = spark_rows(spark, sf_dir, f"SELECT * FROM {view}").select(
+# The same tile in the markup that OTHER_MARKUP reads; it has HTML that is not quite well-formed.
+TILE_B_OTHER = f"""
+'<li class=shelf' || {_attribute("data-pid", "parent_pid")} || {_attribute("data-gtmdata", "tag_raw")}
+|| '><article class="wide card"' || {_attribute("data-pid", "tile_pid")} || '><a class="go" href=' || href || '>'
+|| CASE WHEN named THEN '<h3 class="title">' || name || '</h3>' ELSE '' END || '</a>'
+|| CASE WHEN brand_text IS NULL THEN '' ELSE '<em class="maker"> ' || brand_text || ' </em>' END
+|| '<div class="cost"><i><b class="now">not a child</b></i>'
+|| CASE WHEN original_raw IS NULL THEN '' ELSE '<s><b class="was">' || original_raw || '</b></s>' END
+|| CASE WHEN price_raw IS NULL THEN '' ELSE '<b class="now">' || price_raw || '</b>' END
+|| '</div></section></article>'
+"""
+
+
+def rendered_pages(spark: SparkSession, sf_dir: str, view: str, tile: str, captured: bool = False) -> DataFrame:
+    """Listing pages of all rows of a view; a page holds one page's worth of tiles.
+
+    ``captured`` leaves out the pages that nobody has captured, as a harvest would find them.
+    """
+    where = " WHERE NOT missing" if captured else ""
+    tiles = spark_rows(spark, sf_dir, f"SELECT * FROM {view}{where}").select(
         "brand",
         F.col("page_category").alias("category"),
         F.col("start").cast("int").alias("start"),
@@ -428,6 +483,17 @@ def pages_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered_pages(spark, sf_dir, "vb", TILE_B)
 
 
+def captured_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a harvest of the dialect-A shops has to read: some pages are missing, also first ones."""
+    return rendered_pages(spark, sf_dir, "va", TILE_A, captured=True)
+
+
+def captured_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of dialect B, where some shops use another markup."""
+    tile = f"CASE WHEN brand_no % 2 = 1 THEN {TILE_B_OTHER} ELSE {TILE_B} END"
+    return rendered_pages(spark, sf_dir, "vb", tile, captured=True)
+
+
 DOCUMENT = """
 CASE doc WHEN 'failed' THEN '' WHEN 'empty' THEN NULL WHEN 'broken' THEN '{"product": {"productName"'
   WHEN 'bare' THEN '{}' WHEN 'nulled' THEN '{"product":{"productName":"x","custom": null}}'
@@ -470,7 +536,7 @@ CASE launch_form WHEN 0 THEN lpad(m, 2, '0') || '. MONTH' WHEN 1 THEN '25-' || l
 """
 
 
-def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def captures(spark: SparkSession, sf_dir: str, *brand: str) -> DataFrame:
     """Detail captures: an older one for every seventh product, and the one that counts."""
     rows = (
         spark_rows(spark, sf_dir, "SELECT * FROM vd WHERE captured")
@@ -480,7 +546,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit('{"product":{"productName":"Old"}}').alias("body"))
     new = F.struct(F.lit(2).cast("bigint").alias("seq"), F.col("body"))
     versions = F.when(F.col("k") % 7 == 0, F.array(old, new)).otherwise(F.array(new))
-    return rows.select(F.col("sku_full").alias("sku"), F.inline(versions))
+    return rows.select(*brand, F.col("sku_full").alias("sku"), F.inline(versions))
 
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:

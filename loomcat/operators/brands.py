@@ -60,3 +60,25 @@ def tag_brand(items: DataFrame, brand_id: str | None) -> DataFrame:
     own = F.coalesce(F.col("brand_id"), given) if "brand_id" in items.columns else given
     rest = [c for c in items.columns if c not in ("brand", "brand_id")]
     return items.select(own.alias("brand_id"), *rest)
+
+
+def tag_from_dimension(items: DataFrame, brand_dim: DataFrame, sequence: str) -> DataFrame:
+    """Items of all brands, each tagged with its brand's id if the dimension has one.
+
+    Where it has, ``brand`` is empty and an item's own id stays; other items stay as they are.
+    """
+    named = items.withColumnRenamed("brand_id", "_own")
+    found = brand_id_lookup(named, brand_dim, "brand", sequence)
+    rest = [c for c in items.columns if c not in ("brand", "brand_id")]
+    own = F.coalesce("_own", "brand_id").alias("brand_id")
+    return found.select(own, F.when(F.col("brand_id").isNull(), F.col("brand")).alias("brand"), *rest)
+
+
+SMALL_ROWS, SMALL_BYTES = 100_000, 64 << 20
+
+
+def small(table: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """The table, marked for broadcast only if its rows and their text are counted to be few."""
+    text = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    counted = table.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("b")).first()
+    return F.broadcast(table) if counted["n"] <= rows and counted["b"] <= size else table

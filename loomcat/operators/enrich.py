@@ -48,21 +48,27 @@ def request_manifest(requests: DataFrame) -> DataFrame:
     return requests.select("id", parameters.alias("parameters"))
 
 
-def enrich_products(products: DataFrame, details: DataFrame, sequence: str = "seq") -> DataFrame:
+def enrich_products(
+    products: DataFrame, details: DataFrame, sequence: str = "seq", within: tuple[str, ...] = ()
+) -> DataFrame:
     """Left join to the last detail record per sku; a usable record overwrites the row.
 
+    ``within`` names columns of both sides that must be equal too, such as the brand.
+
     Overwriting is by match, not by value: a record without a name empties the name. Products
     that cannot match get spread-out keys of their own, so that rows without a sku do not all
     land in one join partition. Repeated skus of matching rows are left to AQE's skew join.
     """
-    latest = last_per_key(details, ["sku"], sequence).filter("usable")
+    latest = last_per_key(details, ["sku", *within], sequence).filter("usable")
+    apart = ("sku", "usable", sequence, "raw_data", *within)
     record = latest.select(
         F.col("sku").alias("_join_key"),
-        F.struct(*(c for c in latest.columns if c not in ("sku", "usable", sequence, "raw_data"))).alias("_d"),
+        *within,
+        F.struct(*(c for c in latest.columns if c not in apart)).alias("_d"),
     )
     no_match = F.concat(F.lit("\u0000"), F.xxhash64("url", "name").cast("string"))
     keyed = products.withColumn("_join_key", F.when(_requestable(), F.col("sku")).otherwise(no_match))
-    joined = keyed.join(record, "_join_key", "left").drop("_join_key")
+    joined = keyed.join(record, ["_join_key", *within], "left").drop("_join_key")
 
     d = F.col("_d")
     matched = d.isNotNull()

@@ -3,12 +3,17 @@
 The one stage that leaves the JVM: a page's HTML is walked in ``mapInArrow`` and comes back as one
 row per page with an array of raw tile strings. Pages are independent, so the stage has no shuffle
 and no state, and everything after it is native. Tags left open are closed with their ancestor, or
-where the next list item, cell, row, option or block ends them by HTML's rules.
+where the next list item, cell, row, option or block ends them by HTML's rules; a tag that the page
+ends within takes the rest of the page with it. The walk takes time in proportion to the page.
+
+A page that cannot hold a tile or a stop mark is told apart by the JVM and is not sent to Python.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html import unescape
@@ -16,7 +21,7 @@ from html.entities import html5
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -47,13 +52,21 @@ class TileSpec(NamedTuple):
     stop: str = ".no-results"
 
 
-def tile_type(spec: TileSpec) -> T.StructType:
-    """Fields of one tile: strings, except ``found`` flags."""
-    columns = [T.StructField("pos", T.IntegerType())]
-    for name, field in spec.fields.items():
-        kind = T.BooleanType() if field.take == _FOUND else T.StringType()
-        columns.append(T.StructField(name, kind))
-    return T.StructType(columns)
+def tile_type(*specs: TileSpec) -> T.StructType:
+    """Fields of one tile, of all specifications together: strings, except ``found`` flags."""
+    kinds: dict[str, T.DataType] = {"pos": T.IntegerType()}
+    for spec in specs:
+        for name, field in spec.fields.items():
+            kind = T.BooleanType() if field.take == _FOUND else T.StringType()
+            if kinds.setdefault(name, kind) != kind:
+                raise ValueError(f"field {name!r} has two types")
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+def configured(spec: TileSpec, selectors: dict[str, str]) -> TileSpec:
+    """The specification with some of its selectors replaced."""
+    fields = {n: f._replace(selector=selectors.get(f.selector, f.selector)) for n, f in spec.fields.items()}
+    return spec._replace(root=selectors.get(spec.root, spec.root), fields=fields)
 
 
 _COMPOUND = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)?((?:[.#][\w-]+)*)")
@@ -131,7 +144,9 @@ class _Selectors:
 
 _ATTRIBUTE = r"""[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*))?"""
 _TOKEN = re.compile(
-    rf"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[\s/=]+|{_ATTRIBUTE})*+)>)", re.S
+    rf"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[\s/=]+|{_ATTRIBUTE})*+)>"
+    r"|(?:/?[a-zA-Z]|[!?]).*)",  # the page ends within this tag
+    re.S,
 )
 _NAME_VALUE = re.compile(
     r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|((?!["'])[^\s>]*)))?"""
@@ -207,7 +222,7 @@ class _TileWalker:
         self.open_tiles: list[tuple[int, dict, set]] = []  # depth, values, selectors seen
         self.captures: list[tuple[int, list[str], dict, str]] = []  # depth, pieces, values, name
         self.stack: list[tuple[str, int, str, int]] = []  # tag, mask, attribute text, own bits
-        self.paragraphs = 0  # open ones
+        self.open: Counter[str] = Counter()  # open elements of each tag
         self.stopped = False
         position = 0
         while token := _TOKEN.search(html, position):
@@ -234,7 +249,7 @@ class _TileWalker:
         stack, selectors = self.stack, self.selectors
         if tag in _ENDS:
             self._imply_end(*_ENDS[tag])
-        if self.paragraphs and tag in _ENDS_PARAGRAPH:
+        if self.open["p"] and tag in _ENDS_PARAGRAPH:
             self._imply_end(("p",), _AROUND_PARAGRAPH)
         inherited, parents = (stack[-1][1], stack[-1][3]) if stack else (0, 0)
         own = 0
@@ -248,17 +263,18 @@ class _TileWalker:
                 self._take(hits, attributes, len(stack), opens)
         if opens:
             stack.append((tag, inherited | own, attributes, own))
-            self.paragraphs += tag == "p"
+            self.open[tag] += 1
 
     def _imply_end(self, ended: tuple[str, ...], around: frozenset[str]) -> None:
         """End the outermost open element of the kinds ``ended`` within the nearest one of ``around``."""
-        found = None
+        found, left = None, sum(self.open[tag] for tag in ended)
         for depth in range(len(self.stack) - 1, -1, -1):
             tag = self.stack[depth][0]
-            if tag in around:
+            if not left or tag in around:
                 break
             if tag in ended:
                 found = depth
+                left -= 1
         if found is not None:
             self._cut(found)
 
@@ -296,14 +312,16 @@ class _TileWalker:
             self.open_tiles.append((depth, values, set()))
 
     def _end(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
                 self._cut(depth)
                 return
 
     def _cut(self, depth: int) -> None:
-        if self.paragraphs:
-            self.paragraphs -= sum(element[0] == "p" for element in self.stack[depth:])
+        for element in self.stack[depth:]:
+            self.open[element[0]] -= 1
         del self.stack[depth:]
         if self.captures or self.open_tiles:
             self._close_from(depth)
@@ -324,30 +342,83 @@ class _TileWalker:
                 capture[1].append(decoded)
 
 
+#: References that may spell a letter, digit, hyphen or underscore of a class or id.
+_SPELLED = ("&#", "&lowbar;", "&UnderBar;", "&fjlig;")
+
+
+def _mark(selector: Column) -> Column:
+    """A class or id that an element must have to match; empty if there is no single one."""
+    single = F.when(~selector.contains(","), F.regexp_extract(selector, r"[.#]([\w-]+)[^\s>]*$", 1))
+    return F.coalesce(single, F.lit(""))
+
+
+def worth_reading(html: Column, root: Column, stop: Column) -> Column:
+    """Whether a page may hold an element matching either selector; told without parsing it."""
+    may = [html.contains(_mark(root)), html.contains(_mark(stop)), *(html.contains(x) for x in _SPELLED)]
+    found = may[0]
+    for other in may[1:]:
+        found = found | other
+    return found
+
+
 def extract_tiles(pages: DataFrame, spec: TileSpec, keys: list[str]) -> DataFrame:
     """Pages with an ``html`` column to one row per page: keys, no_results and ``tiles``.
 
     A page without a body has no tiles. Only the key columns and the HTML cross into Python.
     """
-    inputs = pages.select(*keys, "html")
+    return extract_shop_tiles(pages, [spec], keys, F.lit(0), F.lit(None).cast("string"))
+
+
+def extract_shop_tiles(
+    pages: DataFrame, specs: list[TileSpec], keys: list[str], number: Column, selectors: Column
+) -> DataFrame:
+    """As ``extract_tiles``, with a specification chosen for each page, in one walk over all pages.
+
+    ``number`` tells the page's specification and ``selectors`` is a JSON object of the selectors
+    that the page's shop replaces in it, by those they replace. A worker compiles each distinct
+    specification once. A selector that is not supported gives pages without tiles, as a page that
+    cannot be read does, and leaves other shops alone. Tiles have the fields of all specifications.
+    """
+    shape = tile_type(*specs)
+    roots = F.element_at(F.array(*(F.lit(s.root) for s in specs)), number + 1)
+    own = F.from_json(selectors, "map<string,string>")
+    root = F.coalesce(F.element_at(own, roots), roots)
+    stop = F.element_at(F.array(*(F.lit(s.stop) for s in specs)), number + 1)
+    inputs = pages.select(
+        *keys,
+        F.when(worth_reading(F.col("html"), root, stop), F.col("html")).alias("_html"),
+        number.cast("int").alias("_spec"),
+        selectors.alias("_selectors"),
+    )
     key_fields = [inputs.schema[key] for key in keys]
     schema = T.StructType(
         [
             *key_fields,
             T.StructField("no_results", T.BooleanType()),
-            T.StructField("tiles", T.ArrayType(tile_type(spec))),
+            T.StructField("tiles", T.ArrayType(shape)),
         ]
     )
-    arrow_tiles = pa.list_(to_arrow_type(tile_type(spec)))
+    arrow_tiles = pa.list_(to_arrow_type(shape))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walker = _TileWalker(spec)
+        @lru_cache(maxsize=1024)
+        def walker(spec: int, replaced: str | None) -> _TileWalker | None:
+            try:
+                return _TileWalker(configured(specs[spec], json.loads(replaced or "{}")))
+            except ValueError:
+                return None
+
+        def read(html: str | None, spec: int, replaced: str | None) -> tuple[list[dict], bool]:
+            reader = walker(spec, replaced) if html else None
+            return reader.read(html) if reader else ([], False)
+
         for whole in batches:
             for first in range(0, whole.num_rows, PAGES_PER_BATCH):
                 batch = whole.slice(first, PAGES_PER_BATCH)
-                read = [walker.read(html.as_py() or "") for html in batch.column("html")]
-                tiles = pa.array([page_tiles for page_tiles, _ in read], arrow_tiles)
-                stopped = pa.array([stop for _, stop in read], pa.bool_())
+                chosen = zip(batch["_spec"].to_pylist(), batch["_selectors"].to_pylist(), strict=True)
+                found = [read(html.as_py(), *of) for html, of in zip(batch["_html"], chosen, strict=True)]
+                tiles = pa.array([page_tiles for page_tiles, _ in found], arrow_tiles)
+                stopped = pa.array([stop for _, stop in found], pa.bool_())
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(key) for key in keys), stopped, tiles],
                     names=[*keys, "no_results", "tiles"],

@@ -160,15 +160,30 @@ def _kept(tiles: DataFrame) -> list[str]:
 
 
 class Dialect(NamedTuple):
-    """How one kind of storefront is read."""
+    """How one kind of storefront is read.
+
+    ``configured`` names the configuration columns that a shop may set, each with the selector of
+    ``tiles`` that it replaces. ``detailed`` storefronts have detail documents.
+    """
 
     tiles: TileSpec
     usable: Callable[[Column], Column]
     products: Callable[[DataFrame], DataFrame]
-
-
+    configured: dict[str, str] = {}
+    detailed: bool = False
+
+
+# The configuration columns that dialect B reads; dialect A reads none of its own.
+CONFIGURED_B = {
+    "product_selector": ".product-tile",
+    "name_selector": ".pdp-link .pdp-link-heading",
+    "product_brand_selector": ".product-brand .text-truncate",
+    "pdp_link_selector": ".pdp-link a.link",
+    "price_selector": ".price .sales .value",
+    "original_price_selector": ".price .strike-through .value",
+}
 DIALECT_A = Dialect(TILES_A, usable_tile_a, products_a)
-DIALECT_B = Dialect(TILES_B, usable_tile_b, products_b)
+DIALECT_B = Dialect(TILES_B, usable_tile_b, products_b, CONFIGURED_B, detailed=True)
 
 
 class Registry:
@@ -190,6 +205,17 @@ class Registry:
                 return dialect
         return None
 
+    def dialects(self) -> list[Dialect]:
+        """The registered dialects, each once, in the order in which ``number`` counts them."""
+        return [dialect for dialect, _ in self.groups()]
+
+    def number(self) -> Column:
+        """The number of the dialect that ``brand`` is registered for; NULL if there is none."""
+        found = F.lit(None).cast("int")
+        for n, (_, own) in enumerate(self.groups()):
+            found = F.when(own, F.lit(n)).otherwise(found)
+        return found
+
     def groups(self) -> list[tuple[Dialect, Column]]:
         """Each dialect with the condition on ``brand`` for its brands, which share one job."""
         grouped: dict[int, tuple[Dialect, Column]] = {}

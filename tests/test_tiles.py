@@ -1,6 +1,11 @@
 """Tile extraction on small pages with known contents."""
 
-from loomcat.operators.tiles import Field, TileSpec, explode_tiles, extract_tiles
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomcat.operators.tiles import Field, TileSpec, _TileWalker, explode_tiles, extract_tiles, tile_type, worth_reading
 from loomcat.plans.dialects import DIALECT_A, DIALECT_B, TILES_A, TILES_B
 from loomcat.plans.harvest import extract_pages, page_products
 
@@ -176,3 +181,62 @@ def test_tag_data_cases(spark):
 def test_explode_keeps_page_keys(spark):
     exploded = explode_tiles(tiles_of(spark, TILES_A, TILE_A * 2, ""), ["page"])
     assert [(r["page"], r["pos"]) for r in exploded.orderBy("pos").collect()] == [(0, 0), (0, 1)]
+
+
+def test_broken_markup_is_walked_in_linear_time():
+    """Tags without an end, end tags without a start, and items in deep nesting."""
+    walker = _TileWalker(TILES_A)
+    for html in ("<a " * 100_000, "<a x=\"" * 100_001, "<!-" * 100_000, "<div>" * 50_000 + "</p>" * 100_000,
+                 "<div>" * 50_000 + "<li>" * 50_000, "<a b='>" * 60_000, "<p><div>" * 50_000):
+        started = time.process_time()
+        walker.read(html + TILE_A)
+        assert time.process_time() - started < 10
+
+
+@pytest.mark.parametrize(
+    "html, name, href",
+    [
+        ('<a class="link" href="/a?x=1&currency=PKR&region=2">N</a>', "N", "/a?x=1&currency=PKR&region=2"),
+        ("<a class=link href=/a/>N</a>", "N", "/a/"),
+        ('<ul><li><a class="link" href="/a">N<li>other</ul>', "N", "/a"),
+        ('<a class="link" href="/a" title="x > y">N &amp; M</a>', "N & M", "/a"),
+        ('<a class="link" href="/a">N</a></section></p></i>', "N", "/a"),
+        ('<A CLASS="link" HREF="/a">N<!-- <a> --></A>', "N", "/a"),
+    ],
+)
+def test_markup_as_it_is_found(spark, html, name, href):
+    page = f'<div class="product-tile"><div class="pdp-link">{html}</div></div>'
+    frame = spark.createDataFrame([("b", "c", 0, page)], "brand string, category string, start int, html string")
+    tiles = extract_tiles(frame, TILES_A, ["brand"]).first()["tiles"]
+    assert [(t["name"], t["href"]) for t in tiles] == [(name, href)]
+
+
+def test_a_tag_that_never_ends_takes_the_rest(spark):
+    page = '<div class="product-tile"><p class="pdp-link"><a class="link" href="/a">N</a></p></div><div class="product-tile" x="'
+    tiles, stopped = _TileWalker(TILES_A).read(page)
+    assert [t["name"] for t in tiles] == ["N"] and not stopped
+
+
+@pytest.mark.parametrize(
+    "html, root, worth",
+    [
+        ("<p>nothing here</p>", ".product-tile", False),
+        ('<p class="product-tile">', ".product-tile", True),
+        ('<p class="no-results">', ".product-tile", True),
+        ('<p class="product&#45;tile">', ".product-tile", True),
+        ("<p>text</p>", "article", True),  # no class or id to look for
+        ("<p>text</p>", ".a, .b", True),
+        ("<p>text</p>", ".grid > li.card.big", False),
+        ("<p>card</p>", ".grid > li.card.big", True),
+        ("<p>text</p>", "#main", False),
+        (None, ".product-tile", None),
+    ],
+)
+def test_pages_worth_reading(one, html, root, worth):
+    condition = worth_reading(F.col("x"), F.col("root"), F.lit(".no-results"))
+    assert one([(html, root)], "x string, root string", condition) == [worth]
+
+
+def test_two_types_of_one_field_are_refused():
+    with pytest.raises(ValueError, match="two types"):
+        tile_type(TileSpec(".a", {"x": Field("b", "text")}), TileSpec(".a", {"x": Field("b", "found")}))
