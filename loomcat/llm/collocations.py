@@ -4,14 +4,14 @@ The texts are written once, dealt into ``SHARDS`` shards. A scan reads one shard
 and over. Words are counted from the first shard on. A longer phrase becomes active as soon as both
 phrases that it consists of but for one word have reached the threshold in the shards read so far, and
 is counted from the next shard on, for one full cycle. So phrases of all lengths are counted side by
-side in one shard, and the scan ends when no phrase can be within its cycle any more. Each phrase is
-counted in every shard once, so its count is exact.
+side in one shard.
 
-What has been reached is told to the workers by a table of a fixed number of ``SLOTS``: a phrase's slot
-holds the scan after which it, or another phrase of that slot, reached the threshold. A shared slot
-makes phrases active that need not be, never the reverse, and a phrase that misses the threshold is no
-candidate. Counts themselves are kept by the phrase's own words, in a table that Spark shuffles; phrases
-that end their cycle below the threshold leave it.
+These counters are kept by 64-bit hashes, so that the great many rare words and phrases cost little.
+What has reached the threshold is told to the workers by a table of a fixed number of ``SLOTS``: a
+phrase's slot holds the step after which it, or another phrase of that slot, did. Equal hashes and
+shared slots can only make phrases reach it that do not. Each phrase that has reached it is therefore
+counted once more for one full cycle, by its own words. These counts are exact, phrases that miss the
+threshold drop out, and the scan ends when no phrase can be within a cycle any more.
 
 NULL texts count as empty, a NULL language as ``und``; repeated rows count each; texts without words
 and an empty table give no rows; further columns are not read.
@@ -35,11 +35,12 @@ from loomcat.session import materialize, scratch_path
 LONGEST = 5
 THRESHOLD = 100
 TOP = 2000
-SHARDS = 4
+SHARDS = 2
 SLOTS = 1 << 24
 _UNREACHED = 255
-_BYTES = 8 << 20  # bytes of texts that are counted together, unless a single text has more
-_COUNTS = "lang string, words int, phrase string, n long, last int"
+_BYTES = 3 << 20  # bytes of texts that are counted together, unless a single text has more
+_HASHED = 1 << 16  # words hashed at once, to bound memory
+_COUNTS = "key long, lang string, phrase string, n long, last int"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -56,135 +57,155 @@ def words_of(texts: list[bytes]) -> tuple[pa.StringArray, np.ndarray, np.ndarray
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     first = np.flatnonzero(starts)
-    at = np.flatnonzero(inside)
-    begins = np.searchsorted(at, first)
-    offsets = np.append(begins, len(at)).astype(np.int32)
-    buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes())]
-    words = pa.StringArray.from_buffers(len(first), *buffers[1:])
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    return words, np.searchsorted(bounds, first, "right"), np.cumsum(cut)[first]
+    breaks = np.flatnonzero(cut)
+    words = data[inside]
+    ends = inside  # a word ends where the next place is outside
+    ends[:-1] &= ~inside[1:]
+    sizes = np.flatnonzero(ends) + 1 - first
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    strings = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.tobytes()), pa.py_buffer(words.tobytes()))
+    return strings, np.searchsorted(bounds, first, "right"), np.searchsorted(breaks, first)
 
 
 def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
-    mixed = (hashes ^ (hashes >> np.uint64(29))) * _P2
-    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(slots)).astype(np.int64)
+    """Place of a hash in the table; Spark finds the same by ``pmod`` of the signed number."""
+    return np.mod(hashes.view(np.int64), slots)
 
 
-def _word_hash(strings: pa.Array) -> np.ndarray:
+def _word_hash(strings: pa.StringArray) -> np.ndarray:
     """Hash of each string; equal everywhere for equal strings."""
-    rows = strings.to_pylist()
-    low = np.fromiter((zlib.crc32(s.encode()) for s in rows), np.uint64, len(rows))
-    high = np.fromiter((zlib.crc32(s.encode(), 1) for s in rows), np.uint64, len(rows))
-    return (low << np.uint64(32)) ^ (high * _P1)
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    raw = strings.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    out = np.zeros(len(strings), np.uint64)
+    with np.errstate(over="ignore"):
+        for begin in range(0, len(strings), _HASHED):
+            bounds = offsets[begin : begin + _HASHED + 1].astype(np.int64)
+            sizes = np.diff(bounds)
+            some = np.flatnonzero(sizes)
+            if not len(some):
+                continue
+            sizes, starts = sizes[some], bounds[some] - bounds[0]
+            powers = np.cumprod(np.full(int(sizes.max()) + 1, _P1))
+            place = np.arange(bounds[-1] - bounds[0]) - np.repeat(starts, sizes)
+            terms = (data[bounds[0] : bounds[-1]] + np.uint64(1)) * powers[place]
+            hashed = np.add.reduceat(terms, starts)
+            out[begin + some] = (hashed ^ (hashed >> np.uint64(31))) * _P2
+    return out
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of a phrase, from that of its words but the last and that of the last one."""
-    return (left ^ (left >> np.uint64(31))) * _P1 + right
-
-
-def phrase_slots(langs: pa.Array, phrases: pa.Array, slots: int) -> np.ndarray:
-    """The slots of phrases given as text, the same as those found while counting."""
-    split = pc.split_pattern(phrases, " ")
-    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-    flat = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
-    words, start = _word_hash(flat.flatten()), np.cumsum(sizes) - sizes
-    with np.errstate(over="ignore"):
-        hashes = _word_hash(langs) * _P2
-        for i in range(int(sizes.max(initial=0))):
-            more = np.flatnonzero(sizes > i)
-            hashes[more] = _joined(hashes[more], words[start[more] + i])
-        return _slot(hashes, slots)
+    mixed = ((left ^ (left >> np.uint64(31))) * _P1 + right) * _P2
+    return mixed ^ (mixed >> np.uint64(32))
 
 
-def count_phrases(texts: list[bytes], langs: list[str], reached: np.ndarray, step: int, shards: int) -> list[tuple]:
-    """Columns of the phrases within their cycle at this step: lang, words, phrase, number, last step.
+def count_phrases(
+    texts: list[bytes], langs: list[str], reached: np.ndarray, step: int, shards: int
+) -> tuple[list[tuple], list[tuple]]:
+    """Counters of this step by hash (key, number, last step) and by words (lang, phrase, number, last step).
 
-    The words of a language in all count as a phrase of no words.
+    All words of a language count as its empty phrase, which never ends.
     """
     words, of_text, piece = words_of(texts)
     if not len(words):
-        return []
+        return [], []
     names, lang_of = np.unique(np.array(langs, object), return_inverse=True)
-    coded = words.dictionary_encode()
-    code, lang = coded.indices.to_numpy().astype(np.int64), lang_of[of_text]
-    word_hash = _word_hash(coded.dictionary)[code]
-    out = []
+    lang = lang_of[of_text]
+    hashed, exact = [], []
     with np.errstate(over="ignore"):
+        word_hash = _word_hash(words)
         hashes = _joined((_word_hash(pa.array(names.tolist(), pa.string())) * _P2)[lang], word_hash)
-        # One number for each phrase of the current length that begins at a place, exact within these texts.
-        phrase, kinds = pd.factorize(code * len(names) + lang)
-        place = np.arange(len(code))
+        known = reached[_slot(hashes, len(reached))].astype(np.int64)
+        usable = known < _UNREACHED
         if step < shards:
-            out.append(_rows(words, place, phrase, len(kinds), lang, names, 1, np.full(len(code), shards - 1)))
+            fresh = hashes[~usable]
+            hashed.append(_hash_rows(fresh, np.full(len(fresh), shards - 1)))
             everything = np.bincount(lang, minlength=len(names))
-            out.append(
-                (
-                    pa.array(names.tolist(), pa.string()),
-                    pa.array(np.zeros(len(names), np.int32)),
-                    pa.array([""] * len(names), pa.string()),
-                    pa.array(everything),
-                    pa.array(np.full(len(names), shards - 1, np.int32)),
-                )
-            )
-        known = reached[_slot(hashes, len(reached))].astype(np.int64)
-        for length in range(2, LONGEST + 1):
-            # ``place`` holds where reached phrases of one word less begin; those that follow each other join.
-            keep = known < _UNREACHED
-            place, phrase, known, hashes = place[keep], phrase[keep], known[keep], hashes[keep]
+            empty = pa.array([""] * len(names), pa.string())
+            never = pa.array(np.full(len(names), _UNREACHED, np.int32))
+            exact.append((pa.array(names.tolist(), pa.string()), empty, pa.array(everything), never))
+        place = np.flatnonzero(usable)
+        known, hashes = known[place], hashes[place]
+        # One number for each phrase of the current length that begins at a place, exact within these texts.
+        coded = words.take(pa.array(place)).dictionary_encode().indices.to_numpy().astype(np.int64)
+        phrase, _ = pd.factorize(coded * len(names) + lang[place])
+        for length in range(1, LONGEST + 1):
+            # ``place`` holds where the reached phrases of this length begin.
+            due = np.flatnonzero(step <= known + shards)
+            if len(due):
+                exact.append(_phrase_rows(words, place[due], phrase[due], lang, names, length, known[due] + shards))
+            if length == LONGEST:
+                break
             follows = np.flatnonzero(place[1:] == place[:-1] + 1)
-            last = place[follows] + length - 1
-            inside = last < len(code)
-            inside[inside] = piece[last[inside]] == piece[place[follows[inside]]]
+            last = place[follows] + length
+            inside = piece[last] == piece[place[follows]]
             follows, last = follows[inside], last[inside]
+            active = np.maximum(known[follows], known[follows + 1])
             # A phrase is known by its two overlapping parts, so these numbers stay exact.
-            last_step = np.maximum(known[follows], known[follows + 1]) + shards
             both = phrase[follows] * (int(phrase.max(initial=0)) + 1) + phrase[follows + 1]
             place, hashes = place[follows], _joined(hashes[follows], word_hash[last])
-            phrase, kinds = pd.factorize(both)
-            # A phrase is reached when its parts are, even if another phrase has marked its slot before.
-            known = np.maximum(reached[_slot(hashes, len(reached))], last_step - shards)
-            counted = step <= last_step
+            own = reached[_slot(hashes, len(reached))]
+            counted = (own == _UNREACHED) & (step <= active + shards)
             if counted.any():
-                some, part = pd.factorize(phrase[counted])
-                out.append(_rows(words, place[counted], some, len(part), lang, names, length, last_step[counted]))
-    return out
+                hashed.append(_hash_rows(hashes[counted], active[counted] + shards))
+            keep = own < _UNREACHED
+            # A phrase is reached when its parts are, even if another phrase has marked its slot before.
+            place, hashes, known = place[keep], hashes[keep], np.maximum(own, active)[keep]
+            phrase, _ = pd.factorize(both[keep])
+    return hashed, exact
+
+
+def _hash_rows(hashes: np.ndarray, last_step: np.ndarray) -> tuple:
+    """Each hash once, how often it occurs, and the last step of its cycle."""
+    number, keys = pd.factorize(hashes)
+    last = np.empty(len(keys), np.int32)
+    last[number] = last_step
+    return pa.array(keys.view(np.int64)), pa.array(np.bincount(number, minlength=len(keys))), pa.array(last)
 
 
-def _rows(
+def _phrase_rows(
     words: pa.StringArray,
     place: np.ndarray,
     phrase: np.ndarray,
-    kinds: int,
     lang: np.ndarray,
     names: np.ndarray,
     length: int,
     last_step: np.ndarray,
 ) -> tuple:
     """The phrases as text, by the words at one place of each, and how often each occurs."""
-    chosen = np.empty(kinds, np.int64)
-    chosen[phrase[::-1]] = np.arange(len(place))[::-1]
+    number, kinds = pd.factorize(phrase)
+    chosen = np.empty(len(kinds), np.int64)
+    chosen[number] = np.arange(len(place))
     sample = place[chosen]
     texts = [words.take(pa.array(sample + i)) for i in range(length)]
-    string = texts[0] if length == 1 else pc.binary_join_element_wise(*texts, " ")
     return (
         pa.array(names.tolist(), pa.string()).take(pa.array(lang[sample])),
-        pa.array(np.full(kinds, length, np.int32)),
-        string,
-        pa.array(np.bincount(phrase, minlength=kinds)),
+        texts[0] if length == 1 else pc.binary_join_element_wise(*texts, " "),
+        pa.array(np.bincount(number, minlength=len(kinds))),
         pa.array(last_step[chosen].astype(np.int32)),
     )
 
 
 def _scan(shard: DataFrame, reached, step: int, shards: int) -> DataFrame:
-    """Counts of one shard at one step, summed over the texts of each batch."""
+    """Counters of one shard at one step, summed over the texts of each batch."""
+
+    def rows(key, lang, phrase, n, last) -> pa.RecordBatch:
+        blank = pa.nulls(len(n), pa.string())
+        key = pa.nulls(len(n), pa.int64()) if key is None else key
+        columns = [key, blank if lang is None else lang, blank if phrase is None else phrase, n, last]
+        return pa.record_batch(columns, names=["key", "lang", "phrase", "n", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(zlib.decompress(reached.value), np.uint8)
         for batch in batches:
             for texts, langs in _portions(batch):
-                for columns in count_phrases(texts, langs, table, step, shards):
-                    yield pa.record_batch(list(columns), names=["lang", "words", "phrase", "n", "last"])
+                hashed, exact = count_phrases(texts, langs, table, step, shards)
+                for key, n, last in hashed:
+                    yield rows(key, None, None, n, last)
+                for lang, phrase, n, last in exact:
+                    yield rows(None, lang, phrase, n, last)
 
     return shard.select("lang", "text").mapInArrow(run, _COUNTS)
 
@@ -202,31 +223,19 @@ def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[str]]]:
     yield texts, langs
 
 
-def _newly_reached(counts: DataFrame, threshold: int, table: np.ndarray) -> np.ndarray:
-    """Slots of the phrases that have reached the threshold and are not in the table; at most ``SLOTS``."""
-    slots = len(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.unique(phrase_slots(batch["lang"], batch["phrase"], slots)).astype(np.int32)
-            yield pa.record_batch({"slot": pa.array(found)})
-
-    enough = counts.filter((F.col("n") >= threshold) & F.col("words").between(1, LONGEST - 1)).select("lang", "phrase")
-    found = enough.mapInArrow(run, "slot int").distinct().toArrow()["slot"].to_numpy()
-    return found[table[found] == _UNREACHED]
-
-
 def phrase_counts(
     docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS, slots: int = SLOTS
 ) -> DataFrame:
-    """``lang``, ``words``, ``phrase`` and exact ``n`` of every phrase that reaches the threshold.
+    """``lang``, ``phrase`` and exact ``n`` of every word and phrase that reaches the threshold.
 
-    A row of no words for each language holds the number of all its words.
+    The empty phrase of each language holds the number of all its words.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.select(
-        F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.expr(f"monotonically_increasing_id() % {shards}").alias("shard")
+        F.coalesce("lang", F.lit("und")).alias("lang"),
+        "text",
+        F.expr(f"monotonically_increasing_id() % {shards}").alias("shard"),
     )
     path = scratch_path(spark, "shards")
     texts.filter("text <> ''").write.partitionBy("shard").parquet(path)
@@ -234,20 +243,26 @@ def phrase_counts(
     table = np.full(slots, _UNREACHED, np.uint8)
     counts: DataFrame | None = None
     step, latest = 0, -1
+    by_hash, enough = F.col("key").isNotNull(), F.col("n") >= threshold
     while step < shards or step <= latest + shards:
         reached = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
         found = _scan(texts.filter(F.col("shard") == step % shards), reached, step, shards)
         both = found if counts is None else counts.unionAll(found)
-        summed = both.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.min("last").alias("last"))
-        alive = (F.col("n") >= threshold) | (F.col("last") > step) | (F.col("words") == 0)
+        summed = both.groupBy("key", "lang", "phrase").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        # A counter by hash is done with when it reaches the threshold; it stays for this step's table.
+        alive = (F.col("last") > step) | enough
         counts = materialize(summed.filter(alive), "phrases")
-        fresh = _newly_reached(counts, threshold, table)
+        slot = F.expr(f"cast(pmod(key, {slots}) AS int)").alias("slot")
+        # At most one number for each slot comes back.
+        fresh = counts.filter(by_hash & enough).select(slot).distinct().toArrow()["slot"].to_numpy()
+        fresh = fresh[table[fresh] == _UNREACHED]
         if len(fresh):
             table[fresh] = step
             latest = step
+        counts = counts.filter(~(by_hash & enough))
         reached.unpersist()
         step += 1
-    return counts.drop("last")
+    return counts.filter("lang IS NOT NULL").select("lang", "phrase", "n")
 
 
 def _decimal(name: str) -> Column:
@@ -263,9 +278,10 @@ def collocations(
 
 def scored(counts: DataFrame, top: int) -> DataFrame:
     """The first phrases of each language, from the counts of all that reach the threshold."""
-    totals = counts.filter("words = 0").select("lang", F.col("n").alias("total"))
-    enough = counts.filter("words > 0")
-    candidates = enough.filter("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"))
+    totals = counts.filter("phrase = ''").select("lang", F.col("n").alias("total"))
+    enough = counts.filter("phrase <> ''")
+    parts = F.size(F.split("phrase", " "))
+    candidates = enough.select("lang", parts.alias("words"), "phrase", F.col("n").alias("a")).filter("words > 1")
     split = candidates.select("*", F.split("phrase", " ").alias("w"))
 
     def part(begin, size) -> Column:

@@ -5,7 +5,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from loomcat.llm import collocations as module
@@ -77,21 +76,28 @@ def test_nothing(spark):
 def test_counts_beyond_64_bits(spark):
     """Products of counts pass 64 bits; the score must stay exact."""
     big = 3 * 10**9
-    rows = [("en", 0, "", big * 4, 0), ("en", 1, "a", big, 0), ("en", 1, "b", big + 1, 0), ("en", 2, "a b", big - 1, 0)]
-    counts = spark.createDataFrame(rows, "lang string, words int, phrase string, n long, last int").drop("last")
+    rows = [("en", "", big * 4), ("en", "a", big), ("en", "b", big + 1), ("en", "a b", big - 1)]
+    counts = spark.createDataFrame(rows, "lang string, phrase string, n long")
     found = module.scored(counts, 10).first()
     assert found["score"] == 1000 * (big - 1) * (big * 4) // (big * (big + 1))
 
 
-def test_slots_of_text_are_those_found_while_counting():
+def test_a_phrase_counts_by_hash_and_then_by_its_words():
+    """Both parts reached at step 0: by hash in one full cycle; reached itself: by its words in the next."""
     texts, langs = [b"New York, new\tyork city"], ["en"]
-    everything = np.zeros(1 << 10, np.uint8)
-    for lang, _, phrase, _, _ in module.count_phrases(texts, langs, everything, 1, 3):
-        assert len(module.phrase_slots(lang, phrase, 1 << 10)) == len(phrase)
     table = np.full(1 << 10, 255, np.uint8)
-    names = pa.array(["en"] * 3), pa.array(["new", "york", "city"])
-    table[module.phrase_slots(*names, 1 << 10)] = 0
-    counted = module.count_phrases(texts, langs, table, 1, 1)
-    assert [(w.to_pylist(), p.to_pylist(), n.to_pylist()) for _, w, p, n, _ in counted] == [
-        ([2, 2], ["new york", "york city"], [2, 1])
-    ]
+    hashed, exact = module.count_phrases(texts, langs, table, 0, 2)
+    (keys, n, last), = hashed  # three words
+    assert sorted(n.to_pylist()) == [1, 2, 2] and set(last.to_pylist()) == {1}
+    assert [(x[1].to_pylist(), x[2].to_pylist()) for x in exact] == [([""], [5])]
+    table[np.mod(keys.to_numpy(), 1 << 10)] = 0
+    for step in (1, 2):
+        hashed, exact = module.count_phrases(texts, langs, table, step, 2)
+        pairs, n, last = hashed[-1]
+        assert sorted(n.to_pylist()) == [1, 2] and set(last.to_pylist()) == {2}
+        words = {p: k for x in exact for p, k in zip(x[1].to_pylist(), x[2].to_pylist(), strict=True) if p}
+        assert words == {"new": 2, "york": 2, "city": 1}
+    table[np.mod(pairs.to_numpy()[n.to_numpy() == 2], 1 << 10)] = 2
+    hashed, exact = module.count_phrases(texts, langs, table, 3, 2)
+    assert hashed == [] and [(x[1].to_pylist(), x[2].to_pylist()) for x in exact] == [(["new york"], [2])]
+    assert module.count_phrases(texts, langs, table, 5, 2) == ([], [])
