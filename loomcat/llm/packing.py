@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcat.llm.bpe import PreTokens
+from loomcat.llm.byte_bpe import ByteBpe
 from loomcat.llm.common import bound_batches
 from loomcat.session import materialize
 
 CAPACITY = 2048
-CLOSING = b"\0\0\0\0"  # id 0 after each document
+CLOSING = 0  # the id after each document
 SHARE = 40_000
 #: A share hands on sequences with more free places than this.
 SLACK = 8
@@ -44,11 +44,11 @@ def encode(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = PreTokens(definition.value)
+        tokens = ByteBpe(definition.value)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = memoryview(tokens.ids(text or "") + CLOSING)
+                ids = memoryview(np.array([*tokens.encode(text or ""), CLOSING], "<u4").tobytes())
                 size = len(ids) // 4
                 begin, end, n = 0, (size - 1) % capacity + 1, 0
                 while begin < size:
