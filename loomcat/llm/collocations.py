@@ -35,7 +35,7 @@ from loomcat.session import materialize, scratch_path
 LONGEST = 5
 THRESHOLD = 100
 TOP = 2000
-SHARDS = 2
+SHARDS = 3
 SLOTS = 1 << 24
 _UNREACHED = 255
 _BYTES = 3 << 20  # bytes of texts that are counted together, unless a single text has more
@@ -238,7 +238,7 @@ def phrase_counts(
         F.expr(f"monotonically_increasing_id() % {shards}").alias("shard"),
     )
     path = scratch_path(spark, "shards")
-    texts.filter("text <> ''").write.partitionBy("shard").parquet(path)
+    texts.filter("text <> ''").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     texts = spark.read.schema("lang string, text string, shard int").parquet(path)
     table = np.full(slots, _UNREACHED, np.uint8)
     counts: DataFrame | None = None
