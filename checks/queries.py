@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from checks import views as v
 from checks.views import AS_OF, BASE_B, duckdb_sql, spark_rows, table
@@ -417,18 +418,15 @@ rule("season_of_month", "vdx", lambda: {"season": seasons.season_of_month(F.col(
 
 @query(
     "image_dedup",
-    """SELECT split_part(split_part(url, '?', 1), '/', 3) AS host, CAST(count(DISTINCT split_part(split_part(url, '?', 1), '/', -1)) AS BIGINT) AS n
-      FROM pages GROUP BY 1""",
+    """SELECT page_id, unnest([split_part(url, '?', 1), 'https://other.example/second.jpg']) AS url FROM pages""",
 )
 def image_dedup(spark, sf_dir):
-    """Distinct file names among each page's own address, once plain and once with a query."""
+    """Each page's own address, the same file elsewhere, and another file twice: the first ones stay."""
     bare = urls.strip_query(F.col("url"))
-    twice = F.array(bare, F.concat(F.lit("https://mirror.example/"), F.substring_index(bare, "/", -1)))
-    once = table(spark, sf_dir, "pages").select(
-        F.split_part(bare, F.lit("/"), F.lit(3)).alias("host"),
-        F.explode(details.image_dedup(twice)).alias("url"),
-    )
-    return once.groupBy("host").agg(F.count_distinct(F.substring_index("url", "/", -1)).alias("n"))
+    name = F.substring_index(bare, "/", -1)
+    second = F.lit("https://other.example/second.jpg")
+    listed = F.array(bare, F.concat(F.lit("https://mirror.example/"), name), second, F.lit("/x/second.jpg"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(details.image_dedup(listed)).alias("url"))
 
 
 @query(
@@ -1022,26 +1020,22 @@ FIRST_ITEMS = """(SELECT *, row_number() OVER (PARTITION BY brand ORDER BY item_
 ITEM_SQL = "brand, scrape_id, item_no, sku, category, status"
 
 
-def month_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return (
-        spark_rows(spark, sf_dir, "SELECT * FROM month_runs"),
-        spark_rows(spark, sf_dir, "SELECT * FROM items"),
-    )
-
-
 ITEM_COLUMNS = ["brand", "scrape_id", "item_no", "sku", "category", "status"]
 
 
 @query("brand_items", f"SELECT {ITEM_SQL}, nth AS ordinal FROM {FIRST_ITEMS} WHERE nth <= 100")
 def brand_items(spark, sf_dir):
-    found = run_plans.brand_items(*month_runs(spark, sf_dir), "item_no")
-    return found.select(*ITEM_COLUMNS, F.col("ordinal").cast("bigint").alias("ordinal"))
+    store, product = kept_store(spark, sf_dir)
+    found = run_plans.brand_items(store.runs(), store.items(), "item_no")
+    unwrapped = run_plans.unwrap_items(found, product).drop("ordinal")
+    ordinal = found.select("brand", "item_no", F.col("ordinal").cast("bigint").alias("ordinal"))
+    return unwrapped.join(ordinal, ["brand", "item_no"]).select(*ITEM_COLUMNS, "ordinal")
 
 
 @query("by_category", f"SELECT {ITEM_SQL} FROM {FIRST_ITEMS} WHERE nth <= 100 AND category = 'N'")
 def by_category(spark, sf_dir):
-    found = run_plans.by_category(*month_runs(spark, sf_dir), "N", "item_no")
-    return found.select(*ITEM_COLUMNS)
+    store, product = kept_store(spark, sf_dir)
+    return store.by_category(product, "N").select(*ITEM_COLUMNS)
 
 
 @query(
@@ -1050,20 +1044,24 @@ def by_category(spark, sf_dir):
       FROM {FIRST_ITEMS} WHERE nth <= 100 AND status = 'O') s WHERE again <= 20""",
 )
 def by_status(spark, sf_dir):
-    found = run_plans.by_status(*month_runs(spark, sf_dir), "O", "item_no", limit=20)
-    return found.select(*ITEM_COLUMNS)
+    store, product = kept_store(spark, sf_dir)
+    return store.by_status(product, "O", limit=20).select(*ITEM_COLUMNS)
 
 
 STORED_ITEM = "sku STRING, name STRING, category STRING, status STRING, price STRING"
 
 
 def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items as the run store keeps them; returned ones lost their stored product."""
+    """Items as the run store keeps them; returned ones lost their stored product.
+
+    The others have their status only there.
+    """
     items = spark_rows(spark, sf_dir, "SELECT * FROM items")
     product = F.to_json(F.struct("sku", "name", "category", "status", "price"))
     whole = F.when(F.col("category") == "R", F.lit("null")).otherwise(product)
     return items.select(
-        "brand", "scrape_id", "item_no", "sku", "category", "status", whole.alias("scraped_data"),
+        "brand", "scrape_id", "item_no", "sku", "category",
+        F.when(F.col("category") == "R", F.col("status")).otherwise("").alias("status"), whole.alias("scraped_data"),
         moment().alias("created_at"),
     )
 
@@ -1075,11 +1073,10 @@ def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
       strftime(TIMESTAMP '2026-01-02 03:04:05', '%Y-%m-%d %H:%M:%S') AS created_at FROM items""",
 )
 def run_items(spark, sf_dir):
-    runs = spark_rows(spark, sf_dir, "SELECT * FROM month_runs")
-    ids = runs.select(F.col("id").alias("scrape_id"))
-    found = run_plans.items_of_runs(ids, runs, stored_items(spark, sf_dir))
-    schema = spark.createDataFrame([], STORED_ITEM).schema
-    return run_plans.unwrap_items(found, schema).withColumn("created_at", F.col("created_at").cast("string"))
+    store, product = kept_store(spark, sf_dir)
+    ids = store.runs().select(F.col("id").alias("scrape_id"))
+    found = store.run_items(ids, product).drop("brand")
+    return found.withColumn("created_at", F.col("created_at").cast("string"))
 
 
 def filled_store(spark: SparkSession, sf_dir: str, label: str) -> run_plans.RunStore:
@@ -1089,6 +1086,21 @@ def filled_store(spark: SparkSession, sf_dir: str, label: str) -> run_plans.RunS
     return store
 
 
+_KEPT: dict[tuple[str, str], run_plans.RunStore] = {}
+
+
+def kept_store(spark: SparkSession, sf_dir: str) -> tuple[run_plans.RunStore, StructType]:
+    """A store that several queries read; its metadata carries the times of the runs."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _KEPT:
+        items = stored_items(spark, sf_dir)
+        store = run_plans.RunStore(database(spark, "kept"), items.schema)
+        moment_of = F.to_timestamp(F.substring("scrape_id", 1, 6), "yyyyMM")
+        store.save_runs(items, moment_of, F.monotonically_increasing_id())
+        _KEPT[place] = store
+    return _KEPT[place], spark.createDataFrame([], STORED_ITEM).schema
+
+
 STORE_SQL = """SELECT r.id, r.brand, r.item_count, r.status, i.stored FROM month_runs r
   LEFT JOIN (SELECT scrape_id, count(*) AS stored FROM items GROUP BY scrape_id) i ON r.id = i.scrape_id"""
 
@@ -1141,14 +1153,16 @@ def listing_pages(spark, sf_dir):
 DUMP_ROW = "p_partkey BIGINT, p_name STRING, p_size INT, missing STRING"
 
 
-@query("read_dump", "SELECT p_partkey, p_name, p_size, CAST(NULL AS VARCHAR) AS missing FROM part")
+@query("read_dump", "SELECT p_partkey, p_name, p_size, CAST(NULL AS VARCHAR) AS missing FROM part WHERE floor(p_partkey / 500) % 3 <> 1")
 def read_dump(spark, sf_dir):
-    """Array files of up to 500 products each, read back together with a missing path."""
+    """Array files of up to 500 products each, some broken off, read back with a missing path."""
     path = scratch_path(spark, "dump")
     dump = F.floor(F.col("p_partkey") / 500).alias("dump")
     rows = table(spark, sf_dir, "part").groupBy(dump).agg(
         F.to_json(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("value")
     )
+    broken = F.when(F.col("dump") % 3 == 1, F.expr("left(value, length(value) - 9)")).otherwise(F.col("value"))
+    rows = rows.withColumn("value", broken)
     rows.repartition("dump").write.partitionBy("dump").text(path)
     schema = spark.createDataFrame([], DUMP_ROW).schema
     found = file_sources.read_dump(spark, f"{path}/dump=*", schema)
@@ -1211,7 +1225,7 @@ def create_product_table(spark, sf_dir):
 @query(
     "upsert_products",
     """SELECT 'S' || p_partkey AS sku, coalesce(n.name, p_name) AS name, coalesce(n.category, p_type) AS category,
-      n.name IS NOT NULL AS replaced, true AS has_id, false AS created_later
+      n.name IS NOT NULL AS replaced, true AS dense_id, false AS created_later
       FROM part LEFT JOIN (SELECT sku, arg_max(name, item_no) AS name, arg_max(category, item_no) AS category
         FROM items WHERE status <> 'F' GROUP BY sku) n ON n.sku = 'S' || p_partkey
       UNION ALL SELECT NULL, name, category, true, true, true FROM items WHERE status = 'F'""",
@@ -1236,7 +1250,8 @@ def upsert_products(spark, sf_dir):
     catalog.upsert_products(db, projections.product_row(update, None, "item_no"), "item_no", moment())
     return db.read("product").select(
         "sku", "name", "category", F.col("material").isNotNull().alias("replaced"),
-        F.col("id").isNotNull().alias("has_id"), (F.col("created_at") >= moment()).alias("created_later"),
+        F.col("id").between(1, F.lit(db.read("product").agg(F.count_distinct("id")).first()[0])).alias("dense_id"),
+        (F.col("created_at") >= moment()).alias("created_later"),
     )
 
 

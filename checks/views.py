@@ -186,6 +186,7 @@ SELECT vb.*, k % 5 <> 4 AS captured, k % 8 AS pricing, k % 3 AS album, k % 4 AS
   k % 10 <> 9 AS has_custom, k % 12 + 1 AS m, k % 7 AS launch_form, k % 11 % 5 AS season_no,
   CASE WHEN k % 14 = 0 THEN 'failed' WHEN k % 29 = 3 THEN 'empty' WHEN k % 31 = 4 THEN 'broken'
     WHEN k % 37 = 5 THEN 'bare' WHEN k % 41 = 6 THEN 'nulled' WHEN k % 43 = 7 THEN 'list'
+    WHEN k % 47 = 8 THEN 'no images' WHEN k % 53 = 9 THEN 'no values'
     ELSE 'full' END AS doc,
   CASE k % 6 WHEN 0 THEN 'Fabrics ' || w1 WHEN 1 THEN w1 || ' RTW' WHEN 3 THEN 'Ready ' || w2
     WHEN 4 THEN w1 || ' ' || w2 ELSE '' END AS d_name,
@@ -497,7 +498,8 @@ def captured_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCUMENT = """
 CASE doc WHEN 'failed' THEN '' WHEN 'empty' THEN NULL WHEN 'broken' THEN '{"product": {"productName"'
   WHEN 'bare' THEN '{}' WHEN 'nulled' THEN '{"product":{"productName":"x","custom": null}}'
-  WHEN 'list' THEN '[1]' ELSE
+  WHEN 'list' THEN '[1]' WHEN 'no images' THEN '{"product":{"productName":"x","images":{"small":[],"large": null}}}'
+  WHEN 'no values' THEN '{"product":{"productName":"x","variationAttributes":[{"id":"fit","values":null},{"id":"size","values": null}]}}' ELSE
 '{"product":{' || CASE album
   WHEN 0 THEN '"images":{"zoom":[{"url":"/z/' || code || '-9.jpg"},{"url":""}],"small":[{"url":"/s/' || code || '-1.jpg?sw=1"},{"url":"/s/' || code || '-3.jpg"}],"large":[{"url":"/l/' || code || '-1.jpg?x"},{"url":"https://cdn.example/' || code || '-2.jpg"}]},'
   WHEN 1 THEN '"images":{"other":[{"url":"/o/' || code || '.jpg"},{"url":"/o/' || code || '-q.jpg"}],"hi-res":[{"url":"/h/' || code || '.jpg"}]},'

@@ -34,6 +34,7 @@ FABRIC_ATTRIBUTES = {
     "material": "material",
     "technique": "technique",
 }
+VARIATIONS = ["color", "size"]
 REQUIRED_OBJECTS = ["product", "images", "variationAttributes", "custom", "gtmData"]
 
 
@@ -111,6 +112,37 @@ def _null_object(body: Column) -> Column:
     return F.when(hint, F.coalesce(found, F.lit(False))).otherwise(F.lit(False))
 
 
+def _null_inside(body: Column) -> Column:
+    """A null where the record reads a list or an entry of one: image groups, colours and sizes.
+
+    ``from_json`` gives the same for a null and for an absent list, so the document is read as a
+    variant where its text holds a null at all.
+    """
+    document = F.try_parse_json(body)
+
+    def null(value: Column) -> Column:
+        return F.coalesce(value.isNull() | F.is_variant_null(value), F.lit(False))
+
+    def entries(value: Column) -> Column:
+        return F.try_variant_get(value, "$", "array<variant>")
+
+    def any_null(values: Column) -> Column:
+        return F.coalesce(F.exists(values, null), F.lit(False))
+
+    groups = F.map_values(F.try_variant_get(document, "$.product.images", "map<string,variant>"))
+    images = any_null(groups) | F.coalesce(F.exists(groups, lambda g: any_null(entries(g))), F.lit(False))
+    attributes = F.try_variant_get(document, "$.product.variationAttributes", "array<variant>")
+
+    def bad_values(attribute: Column) -> Column:
+        read = F.try_variant_get(attribute, "$.id", "string").isin(VARIATIONS)
+        values = F.try_variant_get(attribute, "$.values", "variant")
+        given_null = F.coalesce(F.is_variant_null(values), F.lit(False))
+        return F.coalesce(read, F.lit(False)) & (given_null | any_null(entries(values)))
+
+    variations = any_null(attributes) | F.coalesce(F.exists(attributes, bad_values), F.lit(False))
+    return F.when(body.contains("null"), images | variations).otherwise(F.lit(False))
+
+
 def parse_document(body: Column) -> Column:
     """Body to a struct; ``_broken`` holds text that is no JSON."""
     return F.from_json(
@@ -122,7 +154,8 @@ def detail_records(captures: DataFrame, base_url: str | Column, as_of: Column) -
     """Captured (sku, ..., body) rows to detail records; columns other than body are kept.
 
     ``usable`` is false where the capture gives no attributes: no body, broken JSON, a null
-    object, or a price that is not a number.
+    object, a null among or instead of the entries of a list that is read, or a price that is not a
+    number.
     """
     base = F.lit(base_url) if isinstance(base_url, str) else base_url
     keys = [c for c in captures.columns if c != "body"]
@@ -137,6 +170,7 @@ def detail_records(captures: DataFrame, base_url: str | Column, as_of: Column) -
         & ~_unreadable(price["sales"])
         & ~_unreadable(price["list"])
         & ~_null_object(F.col("body"))
+        & ~_null_inside(F.col("body"))
     )
     staged = doc.select(
         *keys,

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -18,16 +19,23 @@ def sorted_header(df: DataFrame) -> DataFrame:
     return df.select(*sorted(df.columns))
 
 
-def filter_rows(df: DataFrame, predicate) -> DataFrame:
+def filter_rows(df: DataFrame, predicate, columns: list[str] | None = None) -> DataFrame:
     """Rows satisfying a Column, a SQL text, or, as the slow path, a Python function of the row.
 
-    A Python function gets a Row and goes through a boolean UDF; rows where it gives None or
-    False are dropped.
+    A Python function gets a Row of the named columns, or of all; only these are sent to Python, in
+    Arrow batches. Rows where it gives None or False are dropped.
     """
     if isinstance(predicate, (Column, str)):
         return df.filter(predicate)
-    accepts = F.udf(lambda row: bool(predicate(row)), "boolean")
-    return df.filter(accepts(F.struct("*")))
+    names = list(columns or df.columns)
+
+    @F.arrow_udf("boolean")
+    def accepts(*values: pa.Array) -> pa.Array:
+        rows = zip(*(v.to_pylist() for v in values), strict=True)
+        row = Row(*names)
+        return pa.array([bool(predicate(row(*r))) for r in rows], pa.bool_())
+
+    return df.filter(accepts(*(F.col(f"`{n}`") for n in names)))
 
 
 def by_brand(df: DataFrame, brand: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from loomcat.operators.dedup import first_per_key, top_per_key
 from loomcat.schemas import RUNS
-from loomcat.session import setting
+from loomcat.session import materialize, setting
 from loomcat.sinks.catalog import CatalogDatabase
 
 DEFAULT_LIMIT = 100  # fixed value: items a read gives unless told otherwise
@@ -29,8 +29,17 @@ def run_brand(runs: DataFrame) -> DataFrame:
     return first_per_key(runs, ["id"], F.asc("seq")).select(F.col("id").alias("scrape_id"), "brand")
 
 
+def latest_run(runs: DataFrame) -> DataFrame:
+    """Newest run of all brands; of equal times the one stored first."""
+    return runs.orderBy(F.desc_nulls_last("scraped_at"), "seq").limit(1)
+
+
 def items_of_runs(ids: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
-    """Items of the given run ids, found under the brand their metadata names."""
+    """Items of the given run ids, found under the brand their metadata names.
+
+    Where items are partitioned by brand and run, only the partitions that the metadata names are
+    read: the join prunes them while the query runs.
+    """
     wanted = ids.select("scrape_id").distinct().join(run_brand(runs), "scrape_id")
     return items.join(wanted, ["brand", "scrape_id"], "left_semi")
 
@@ -51,9 +60,24 @@ def unwrap_items(items: DataFrame, product: T.StructType) -> DataFrame:
         if own is not None:
             inner = inner.otherwise(own)
         columns.append(inner.alias(field.name))
-    order = [c for c in ("scrape_id", "item_no") if c in items.columns]
+    own_keys = [c for c in (*ITEM_PARTITIONS, "item_no") if c in items.columns and c not in product.names]
     shown = F.when(F.col("_object"), F.lit("")).alias("id")
-    return staged.select(*order, *columns, shown, "created_at")
+    return staged.select(*own_keys, *columns, shown, "created_at")
+
+
+def stored_text(items: DataFrame, name: str) -> Column:
+    """A text of the stored product, or of the item's own column where no object is stored.
+
+    What the product holds under this name counts only if it is a text, as an equality would have it.
+    """
+    if "scraped_data" not in items.columns:
+        return F.col(name)
+    whole = F.try_parse_json("scraped_data")
+    value = F.try_variant_get(whole, f"$.{name}", "variant")
+    text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(whole, f"$.{name}", "string"))
+    own = F.col(name) if name in items.columns else F.lit(None).cast("string")
+    is_object = F.coalesce(F.ltrim("scraped_data").startswith("{"), F.lit(False)) & whole.isNotNull()
+    return F.when(is_object, text).otherwise(own)
 
 
 def brand_items(
@@ -75,14 +99,14 @@ def by_category(
 ) -> DataFrame:
     """Category rows among each brand's first items: the filter stays above the first limit."""
     first = brand_items(runs, items, position).withColumn("_position", F.col("ordinal"))
-    return _filtered(first, F.col("category") == category, limit).drop("_position")
+    return _filtered(first, stored_text(first, "category") == category, limit).drop("_position")
 
 
 def by_status(
     runs: DataFrame, items: DataFrame, status: str, position: str, limit: int = DEFAULT_LIMIT
 ) -> DataFrame:
     first = brand_items(runs, items, position).withColumn("_position", F.col("ordinal"))
-    return _filtered(first, F.col("status") == status, limit).drop("_position")
+    return _filtered(first, stored_text(first, "status") == status, limit).drop("_position")
 
 
 class RunStore:
@@ -102,12 +126,15 @@ class RunStore:
     def save_runs(self, items: DataFrame, moment: Column, seq: Column) -> None:
         """Store items of one or more runs and one metadata row per run.
 
-        The rebalance hint gives each run few files and splits a run that is very large. A run
-        saved again, also by a retried job, takes the place of its earlier items.
+        The items are computed once, into the shared folder, so that the stored rows and their
+        counts agree whatever the plan behind them does. The rebalance hint gives each run few files
+        and splits a run that is very large. A run saved again, also by a retried job, takes the
+        place of its earlier items.
         """
         columns = self.items().columns
         keys = [F.col(c) for c in ITEM_PARTITIONS]
-        rows = items.hint("rebalance", *keys).select(*columns)
+        items = materialize(items.select(*columns), "run-items")
+        rows = items.hint("rebalance", *keys)
         with setting(self.db.spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
             rows.write.insertInto(self.db.qualified("run_items"), overwrite=True)
         self.db.append(
@@ -122,6 +149,38 @@ class RunStore:
             ),
         )
 
+    def latest(self, brand: str | None = None) -> DataFrame:
+        """Newest run of a brand, or of all brands."""
+        runs = self.runs()
+        return latest_run(runs if brand is None else runs.filter(F.col("brand") == brand))
+
+    def run_items(self, ids: DataFrame, product: T.StructType) -> DataFrame:
+        """Stored products of the given runs (``scrape_id``)."""
+        return unwrap_items(items_of_runs(ids, self.runs(), self.items()), product)
+
+    def brand_items(
+        self, product: T.StructType, brand: str | None = None, position: str = "item_no", limit: int = DEFAULT_LIMIT
+    ) -> DataFrame:
+        """Stored products that stand first in the newest run of a brand, or of each brand."""
+        return unwrap_items(brand_items(self._runs_of(brand), self.items(), position, limit), product)
+
+    def by_category(
+        self, product: T.StructType, category: str, brand: str | None = None, position: str = "item_no",
+        limit: int = DEFAULT_LIMIT,
+    ) -> DataFrame:
+        """Products of a category among the first ones of a brand, or of each brand."""
+        found = by_category(self._runs_of(brand), self.items(), category, position, limit)
+        return unwrap_items(found, product)
+
+    def by_status(
+        self, product: T.StructType, status: str, brand: str | None = None, position: str = "item_no",
+        limit: int = DEFAULT_LIMIT,
+    ) -> DataFrame:
+        return unwrap_items(by_status(self._runs_of(brand), self.items(), status, position, limit), product)
+
+    def _runs_of(self, brand: str | None) -> DataFrame:
+        return self.runs() if brand is None else self.runs().filter(F.col("brand") == brand)
+
     def delete_run(self, run_id: str) -> bool:
         """Remove a run's first metadata row and its items; true if there were items."""
         runs = self.runs()
@@ -134,7 +193,7 @@ class RunStore:
             & F.col("brand").eqNullSafe(first["brand"])
             & F.col("seq").eqNullSafe(first["seq"])
         )
-        self.db.replace("runs", runs.filter(~same))
+        self.db.replace("runs", runs.filter(~F.coalesce(same, F.lit(False))))
         if not first["brand"]:
             return False
         table = self.db.qualified("run_items")

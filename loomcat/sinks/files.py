@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +36,20 @@ def csv_columns(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, folder: str, label: str, moment: datetime) -> str:
-    """Write with a header of all columns in order; nothing, and an empty path, without rows."""
-    if df.isEmpty():
-        return ""
+    """Write with a header of all columns in order; nothing, and an empty path, without rows.
+
+    The rows are counted by the write itself; a folder that it left empty is removed again.
+    """
     path = output_path(folder, label, moment, "csv")
-    csv_columns(df).write.option("header", True).option("escape", '"').csv(path)
-    return path
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    made = not files.exists(place.getParent())
+    written = Observation()
+    rows = csv_columns(df).observe(written, F.count(F.lit(1)).alias("n"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    if written.get["n"]:
+        return path
+    files.delete(place, True)
+    if made and not files.listStatus(place.getParent()):
+        files.delete(place.getParent(), False)
+    return ""

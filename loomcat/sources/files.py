@@ -19,13 +19,15 @@ OLD_LAYOUT = r"(?:^|/)config/([^/]+)_config\.json$"
 
 
 def read_dump(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Products of JSON dump files, each one array; none for a missing path.
+    """Products of JSON dump files, each one array; none for a missing path or an unreadable file.
 
-    Dumps written by Spark (one object per line) are read with ``read_rows`` instead, which
-    splits large files.
+    A file that is no JSON gives nothing and leaves the other files alone. Dumps written by Spark
+    (one object per line) are read with ``read_rows`` instead, which splits large files.
     """
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        whole = spark.read.text(path, wholetext=True)
+        readable = whole.filter(F.try_parse_json("value").isNotNull())
+        return readable.select(F.inline(F.from_json("value", T.ArrayType(schema))))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -39,6 +39,11 @@ UNUSABLE = [
     {"product": {"gtmData": None}},
     {"product": {"price": {"sales": {"value": None}}}},
     {"product": {"price": {"list": {"value": "soon"}}}},
+    {"product": {"images": {"small": [], "large": None}}},
+    {"product": {"images": {"other": [{"url": "/a"}, None]}}},
+    {"product": {"variationAttributes": [None]}},
+    {"product": {"variationAttributes": [{"id": "color", "values": None}]}},
+    {"product": {"variationAttributes": [{"id": "size", "values": [{"displayValue": "1"}, None]}]}},
 ]
 USABLE = [
     {},
@@ -46,6 +51,7 @@ USABLE = [
     {"product": {"price": None}},
     {"product": {"price": {"sales": None, "list": {}}}},
     {"product": {"productName": 'says "custom": null', "other": {"custom": None}}},
+    {"product": {"images": {"large": [{"url": None}]}, "variationAttributes": [{"id": "fit", "values": None}, {"id": "size"}]}},
 ]
 
 

@@ -67,6 +67,22 @@ def test_dump(spark, tmp_path):
     assert sources.read_dump(spark, str(tmp_path / "absent.json"), schema).collect() == []
 
 
+def test_unreadable_dumps_give_no_rows(spark, tmp_path):
+    schema = T.StructType([T.StructField("sku", T.StringType()), T.StructField("n", T.IntegerType())])
+    texts = ['[{"sku":"a","n":1},{"sku":"b"', "oops", "", '[{"sku":"c","n":"x"}, {"sku":"d","n":4}]', "[]", "7"]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(text, "utf8")
+    rows = sources.read_dump(spark, str(tmp_path), schema)
+    assert sorted(map(tuple, rows.collect())) == [("c", None), ("d", 4)]
+    assert rows.count() == 2
+
+
+def test_empty_csv_leaves_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "a string")
+    assert sinks.write_csv(none, str(tmp_path), "No Rows", datetime(2026, 1, 2)) == ""
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_page_files(spark, tmp_path):
     folder = tmp_path / "brand=B" / "category=007" / "start=12"
     folder.mkdir(parents=True)
@@ -150,6 +166,15 @@ def test_filter_rows_accepts_columns_sql_and_functions(spark):
         assert [r["id"] for r in sets.filter_rows(df, predicate).collect()] == [8, 9]
 
 
+def test_filter_rows_sends_only_the_named_columns(spark):
+    df = spark.createDataFrame([(1, "a", [1]), (2, None, [2]), (3, "b", None)], "n int, s string, x array<int>")
+    found = sets.filter_rows(df, lambda row: row.s and row["n"] < 3, ["n", "s"])
+    assert [r["n"] for r in found.collect()] == [1]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    call = next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
+    assert "accepts(n#" in call and "x#" not in call.split("]")[0]
+
+
 def test_listing_scan_falls_back(spark):
     full = spark.createDataFrame([tuple("x" * 15)], ", ".join(f"{c} string" for c in LISTING_REPORT_COLUMNS))
     assert tables.listing_scan(full).columns == LISTING_REPORT_COLUMNS
@@ -211,10 +236,40 @@ def test_upsert_replaces_by_sku(spark, db):
     assert len({r["id"] for r in rows}) == 6
     skus = [r["sku"] for r in rows if r["sku"] is not None]
     assert len(skus) == len(set(skus))
+    assert sorted(r["id"] for r in rows) == [1, 2, 3, 4, 5, 6]
     db.drop_old_versions("product")
     assert len(db.versions("product")) == 1 and db.read("product").count() == 6
 
 
+def test_upsert_leaves_other_buckets_alone(spark, db):
+    catalog.create_product_table(db)
+    rows = [(f"s{i}", f"old{i}", 1) for i in range(600)]
+    catalog.upsert_products(db, products(spark, rows), "seq", later("2026-01-01 00:00:00"))
+
+    def files():
+        stored = spark.table(db.qualified("product"))
+        return {(r[0], r[1]) for r in stored.select(F.input_file_name(), catalog.BUCKET).distinct().collect()}
+
+    before = files()
+    update = [("s7", "new", 1), ("fresh", "new", 1), (None, "none", 1)]
+    catalog.upsert_products(db, products(spark, update).repartition(3), "seq", later("2026-02-01 00:00:00"))
+    changed = {bucket for _, bucket in before ^ files()}
+    assert len(before) > 60 and len(changed) <= 3
+    stored = db.read("product").collect()
+    assert sorted(r["id"] for r in stored) == list(range(1, 603))
+    assert {r["name"] for r in stored if r["sku"] in ("s7", "fresh", None)} == {"new", "none"}
+    assert len({r["sku"] for r in stored}) == 602
+
+
+def test_upsert_computes_its_rows_once(spark, db):
+    """Rows that come out differently each time are still numbered and stored once."""
+    catalog.create_product_table(db)
+    random = spark.range(300).select(F.concat(F.lit("r"), (F.rand() * 1e9).cast("long")).alias("sku"), F.lit("x").alias("name"), F.lit(1).alias("seq"))
+    catalog.upsert_products(db, projections.product_row(random, "b", "seq"), "seq", later("2026-01-01 00:00:00"))
+    stored = db.read("product").collect()
+    assert len(stored) == 300 and sorted(r["id"] for r in stored) == list(range(1, 301))
+
+
 def test_upsert_of_one_hot_sku(spark, db):
     catalog.create_product_table(db)
     rows = [("hot", f"v{i}", i) for i in range(400)] + [(None, f"n{i}", i) for i in range(400)]
@@ -275,6 +330,42 @@ def test_only_the_partition_of_a_run_is_read(spark, db):
     assert "PartitionFilters: [isnotnull(brand" in plan
 
 
+def test_reads_of_the_store(spark, db):
+    product = T.StructType([T.StructField(n, T.StringType()) for n in ("sku", "category", "status")])
+    schema = "sku string, category string, status string, scraped_data string, item_no long, brand string, scrape_id string, created_at timestamp"
+    def rows(brand, run, n):
+        return [
+            (f"{i}", "column", "column", None if i % 4 == 3 else json.dumps({"sku": f"p{i}", "category": i % 2, "status": "Sale"}
+             if i % 4 == 0 else {"sku": f"p{i}", "category": "c"}), i, brand, run, datetime(2026, 1, 1)) for i in range(n)
+        ]
+    store = run_plans.RunStore(db, spark.createDataFrame([], schema).schema)
+    for number, (brand, run) in enumerate((("x", "1"), ("y", "2"), ("x", "3"))):
+        items = spark.createDataFrame(rows(brand, run, 130), schema).repartition(4)
+        store.save_runs(items, later(f"2026-01-0{number + 1} 00:00:00"), F.lit(number).cast("bigint"))
+    assert store.latest().first()["id"] == "3" and store.latest("y").first()["id"] == "2"
+    assert store.latest("nobody").collect() == []
+    first = store.brand_items(product, "x").collect()
+    assert {r["scrape_id"] for r in first} == {"3"} and sorted(r["item_no"] for r in first) == list(range(100))
+    assert {r["sku"] for r in first if r["item_no"] in (3, 4)} == {"3", "p4"}
+    # A status that stands only in the product is found; the own column counts where there is none.
+    assert [r["item_no"] for r in store.by_status(product, "Sale", "x", limit=3).collect()] == [0, 4, 8]
+    assert store.by_status(product, "column", "y").count() == 25
+    assert store.by_category(product, "0").count() == 0  # a number is no text
+    assert store.by_category(product, "c").count() == 100  # 50 of each brand
+    ids = spark.createDataFrame([("2",), ("9",)], "scrape_id string")
+    found = store.run_items(ids, product)
+    assert found.count() == 130
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_saved_counts_are_those_of_the_stored_rows(spark, db):
+    """Rows that come out differently each time they are computed."""
+    items = run_items(spark, "x", "1", [("a", "n", "c", "s")] * 500).filter(F.rand() < 0.5)
+    store = run_plans.RunStore(db, items.schema)
+    store.save_runs(items, later("2026-01-01 00:00:00"), F.lit(1).cast("bigint"))
+    assert store.runs().first()["item_count"] == store.items().count()
+
+
 def test_unwrapped_items(spark):
     schema = T.StructType([T.StructField("sku", T.StringType()), T.StructField("extra", T.IntegerType())])
     rows = [("r", "own", '{"sku":"in","extra":3}', "t"), ("r", "own", "null", "t"), ("r", "own", None, "t"), ("r", "own", "[1]", "t")]
