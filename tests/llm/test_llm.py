@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomcat.llm import decontaminate, graph, lines, near_dedup, packing, pages, passages, pii, quality
+from loomcat.llm import bpe, decontaminate, graph, lines, near_dedup, packing, pages, passages, pii, quality
 from loomcat.llm import token_counts, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -238,7 +238,7 @@ def test_common_lines():
 
 
 def test_bpe_agrees_with_the_library():
-    tokens, library = packing.PreTokens(open(TOKENIZER).read()), Tokenizer.from_file(TOKENIZER)
+    tokens, library = bpe.PreTokens(open(TOKENIZER).read()), Tokenizer.from_file(TOKENIZER)
     for text in ["", " ", "a  b　\xa0c", "it's <|endoftext|> x<|endoftext|>", "\x1c\x1d a\x85b", "日本 ١٢ ½²", "'ll''ll \t x"]:
         assert np.frombuffer(tokens.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert re.fullmatch("[0-9]+", str(zlib.crc32(b"")))
