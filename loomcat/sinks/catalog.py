@@ -118,8 +118,9 @@ def upsert_products(
     """Upsert product rows by sku; new rows get the numbers that follow the highest id.
 
     Only the buckets that incoming rows with a sku fall into are read and written again, each as a
-    whole. Rows without a sku never conflict and are added as further files. Everything is worked
-    out before the table is touched, so that a repeated task reads what the first one did.
+    whole. Rows without a sku never conflict; in other buckets they are added as further files.
+    Everything is worked out before the table is touched, so that a repeated task reads what the
+    first one did.
     """
     name = db.qualified("product")
     stored = db.spark.table(name)
@@ -134,12 +135,13 @@ def upsert_products(
     highest = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     added = loose.select(*payload).withColumns({"created_at": created_at, BUCKET: sku_bucket()})
     numbered = _numbered(merged.filter("id IS NULL").drop("id").unionByName(added), highest)
-    with_sku, without = numbered.filter("sku IS NOT NULL"), numbered.filter("sku IS NULL")
-    replaced = merged.filter("id IS NOT NULL").unionByName(with_sku).select(*stored.columns)
-    per_bucket = [F.col(BUCKET)]
+    inside = F.col(BUCKET).isin(touched) if touched else F.lit(False)
+    replaced = merged.filter("id IS NOT NULL").unionByName(numbered.filter(inside))
+    columns, bucket = stored.columns, F.col(BUCKET)
     with setting(db.spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
-        replaced.hint("rebalance", *per_bucket).write.insertInto(name, overwrite=True)
-    without.select(*stored.columns).hint("rebalance", *per_bucket).write.insertInto(name)
+        replaced.select(*columns).hint("rebalance", bucket).write.insertInto(name, overwrite=True)
+    if len(touched) < BUCKETS:  # rows without a sku may fall into other buckets, too
+        numbered.filter(~inside).select(*columns).hint("rebalance", bucket).write.insertInto(name)
 
 
 def _numbered(rows: DataFrame, highest: int) -> DataFrame:
