@@ -8,8 +8,9 @@ in a hundred thousand. Links are confirmed on the full sets.
 
 Documents with equal sets are folded into one first. In each bucket (documents with equal table key)
 candidates are not all pairs: all members meet the smallest, then the one with most confirmed links;
-after each, components are formed. Members of one component need no comparison. What is left in
-different components of one bucket is compared in full, so that no candidate is lost.
+after each, components are formed. Members of one component need no comparison. Members that are left
+in different components are not paired either: each looks for shingles that it shares with others
+beyond those of the centre it resembles most (``_rest``), which loses no link.
 
 Words are separated by ASCII white space, with A-Z in lower case; a document of one word has that
 word as its only shingle; documents without words have no links. NULL texts have no words; rows with
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcat.llm.common import bound_batches, if_small
@@ -127,27 +128,33 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"id": part["doc_id"], "set": pa.array(sets, pa.list_(pa.int64()))})
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        linked = []
+        common, linked = [], []
         for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
             x, y = x.values.to_numpy(), y.values.to_numpy()
             both = len(np.intersect1d(x, y, assume_unique=True))
+            common.append(both)
             linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        columns = [batch["a"], batch["b"], pa.array(common, pa.int64()), pa.array(linked, pa.bool_())]
+        yield pa.record_batch(columns, names=["a", "b", "both", "linked"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among pairs (a, b) of documents whose sizes allow one."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents with the size of their intersection, and whether they are linked."""
     theirs = [sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b")]
     return materialize(
         pairs.join(theirs[0], "a").join(theirs[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(
-            _confirm, "a long, b long"
+            _compare, "a long, b long, both long, linked boolean"
         ),
-        "confirmed",
+        "compared",
     )
 
 
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.filter("linked").select("a", "b")
+
+
 def _pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
     """Each member of a bucket beside its centre, if their sizes allow a link."""
     near = 100 * F.least("n", "cn") >= PERCENT * F.greatest("n", "cn")
@@ -180,30 +187,91 @@ def _buckets(nodes: DataFrame) -> DataFrame:
         "id", "l", F.explode("right").alias("r")
     )
     keys = keys.select("id", F.xxhash64("l", "r").alias("key"))
-    shared = (
-        keys.groupBy("key")
-        .agg(
-            F.count("*").alias("size"),
-            F.min("id").alias("least"),
-            F.max("id").alias("most"),
-            F.bit_xor(F.xxhash64("id")).alias("mark"),
-        )
-        .filter("least < most")
-        .groupBy("size", "least", "most", "mark")
-        .agg(F.min("key").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    found = materialize(keys.join(shared, "key", "left_semi"), "found")
+    equal = found.groupBy("key").agg(
+        F.count("*").alias("size"),
+        F.min("id").alias("least"),
+        F.max("id").alias("most"),
+        F.bit_xor(F.xxhash64("id")).alias("mark"),
     )
-    found = keys.join(shared.select("key"), "key", "left_semi")
-    return materialize(found.join(nodes.select("id", "n"), "id"), "members")
+    once = equal.filter("least < most").groupBy("size", "least", "most", "mark").agg(F.min("key").alias("key"))
+    members = found.join(once.select("key"), "key", "left_semi")
+    return materialize(members.join(nodes.select("id", "n"), "id"), "members")
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components."""
+    """Members of buckets that still hold several components, with ``root`` and its ``weight``."""
     roots = components(links).withColumnRenamed("node", "id")
-    named = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("weight"))
+    named = members.join(roots.join(sizes, "root"), "id", "left")
+    named = named.withColumn("root", F.coalesce("root", "id")).withColumn("weight", F.coalesce("weight", F.lit(0)))
     mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
     return materialize(named.join(mixed.select("key"), "key", "left_semi"), "mixed")
 
 
+def _band(n: Column) -> Column:
+    """Number of the range of sizes, in steps of a twentieth, that ``n`` falls into."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05))).cast("int")
+
+
+def _rest(left: DataFrame, compared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidates among members of different components: all pairs that the sizes of sets leave open.
+
+    Of two components the smaller one's members look for the other's. Such a document, of n shingles,
+    puts those shingles first that are not in the set most like it among those it was compared with,
+    the rarest of all first, and those of that set last. A pair whose first common shingle stands at
+    place i (from 0) has at most n - i in common, so the other has at most 9 (n - i) / 4 - n shingles
+    if they are linked. Shingles therefore meet those of documents of such sizes only. If the common
+    shingles all belong to that set, this holds for the number of them; what is left open then are the
+    smaller documents of the same bucket. In a large group of near copies the set compared with holds
+    what the group shares, and what a document has besides it is rare.
+    """
+    own = F.struct("weight", "root")
+    nodes = materialize(left.select("id", "n", "weight", "root").distinct(), "nodes")
+    largest = left.groupBy("key").agg(F.max(own).alias("top"))
+    seekers = left.join(largest, "key").filter(own < F.col("top")).select("id").distinct()
+    sides = compared.select(F.col("a").alias("id"), F.col("b").alias("c"), "both").unionAll(
+        compared.select(F.col("b").alias("id"), F.col("a").alias("c"), "both")
+    )
+    best = sides.join(seekers, "id", "left_semi").groupBy("id").agg(F.max(F.struct("both", "c")).alias("best"))
+    seekers = seekers.join(best, "id", "left").select(
+        "id", F.col("best.c").alias("c"), F.coalesce("best.both", F.lit(0)).alias("both")
+    )
+    seekers = materialize(seekers.join(nodes, "id"), "seekers")
+    whole = sets.join(nodes, "id").filter(F.size("set") == F.col("n")).dropDuplicates(["id", "n"])
+    whole = materialize(whole, "mixed-sets")
+    centres = seekers.select("c").distinct()
+    theirs = sets.join(centres, F.col("id") == F.col("c"), "left_semi").dropDuplicates(["id"])
+    theirs = theirs.select(F.col("id").alias("c"), F.col("set").alias("theirs"))
+    besides = F.array_except("set", F.coalesce("theirs", F.array().cast("array<bigint>")))
+    beyond = seekers.select("id", "n", "c").join(whole.select("id", "n", "set"), ["id", "n"]).join(theirs, "c", "left")
+    beyond = materialize(beyond.select("id", "n", F.explode(besides).alias("shingle")), "beyond")
+    held = whole.select("id", "n", "weight", "root", F.explode("set").alias("shingle"))
+    wanted = beyond.select("shingle").distinct()
+    held = materialize(held.join(wanted, "shingle", "left_semi"), "held")
+    common = held.groupBy("shingle").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id", "n").orderBy("df", "shingle")  # shingles of one document
+    placed = beyond.join(common, "shingle").withColumn("i", F.row_number().over(order) - 1).filter("df > 1")
+    least = F.expr(f"({PERCENT} * n + 99) div 100")
+    reach = F.expr(f"((100 + {PERCENT}) * (n - i)) div {PERCENT} - n")
+    bands = F.explode(F.sequence(_band(F.col("least")), _band(F.col("reach")))).alias("band")
+    limits = placed.withColumn("least", least).withColumn("reach", reach).filter("reach >= least")
+    seeking = limits.select("id", "n", "shingle", "least", "reach", bands).join(
+        seekers.select("id", "n", "weight", "root"), ["id", "n"]
+    )
+    others = [F.col(x).alias(f"o_{x}") for x in ("id", "n", "weight", "root")]
+    fits = F.col("o_n").between(F.col("least"), F.col("reach"))
+    fits &= own < F.struct(F.col("o_weight").alias("weight"), F.col("o_root").alias("root"))
+    by_shingle = seeking.join(held.select("shingle", _band(F.col("n")).alias("band"), *others), ["shingle", "band"])
+    inside = seekers.withColumn("least", least).withColumn("i", F.col("n") - F.col("both")).withColumn("reach", reach)
+    inside = inside.filter("reach >= least").select("id", "weight", "root", "least", "reach", bands)
+    keyed = left.select("key", _band(F.col("n")).alias("band"), *others)
+    by_key = left.select("id", "key").distinct().join(inside, "id").join(keyed, ["key", "band"])
+    pair = [F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")]
+    return by_shingle.filter(fits).select(*pair).unionAll(by_key.filter(fits).select(*pair)).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every document."""
     bound_batches(docs.sparkSession)
@@ -233,26 +301,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "sets",
     )
     first = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"))
-    links = _confirmed(_pairs(members, first.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"))), sets)
-    left = _labelled(members, links)
+    first = first.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"))
+    compared = _compared(_pairs(members, first), sets)
+    left = _labelled(members, _links(compared))
     degrees = (
-        links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+        _links(compared).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     )
     ranked = left.join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     second = ranked.groupBy("key").agg(F.max(F.struct("degree", "id", "n", "root")).alias("c"))
     second = second.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"), F.col("c.root").alias("cr"))
     tried = _pairs(left.join(second.select("key", "cr"), "key").filter("root <> cr"), second.drop("cr"))
-    links = links.unionAll(_confirmed(tried, sets))
-    left = _labelled(left.drop("root"), links)
-    other = left.select("key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("root").alias("cr"))
-    near = 100 * F.least("n", "cn") >= PERCENT * F.greatest("n", "cn")
-    rest = (
-        left.join(other, "key")
-        .filter((F.col("root") < F.col("cr")) & near)
-        .select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b"))
-        .distinct()
-    )
-    links = links.unionAll(_confirmed(rest, sets))
+    compared = compared.unionAll(_compared(tried, sets))
+    left = _labelled(left.drop("root", "weight"), _links(compared))
+    links = _links(compared).unionAll(_links(_compared(_rest(left, compared, sets), sets)))
     roots = components(links).withColumnRenamed("node", "id")
     named = classes.join(roots, "id", "left").select(
         "s1", "s2", "n_shingles", F.coalesce("root", "id").alias("component_id")
