@@ -5,11 +5,13 @@ for lines of ``MIN_WORDS`` words and more, if an earlier line is one inserted, d
 word away. Earlier means a smaller (document id, line number); the earliest line stays.
 
 Near lines are found through deletion neighbourhoods: two lines a replacement apart are equal once
-that word is deleted from both, and a line a deletion away equals a variant of the longer one. All
-variants of a line are emitted as hashed keys; equal keys meet in a join, where each line sees only
-the earliest of its key, never all pairs. One pair per line is then verified by edit distance. As
-one edit leaves the first or the last five words alone, only lines that share one of those with
-another line can have neighbours, and only they emit variants. Equal lines are folded first.
+that word is deleted from both, and a line a deletion away equals a variant of the longer one.
+Variants are emitted as hashed keys; equal keys meet in a join, where each line sees only the earliest
+of its key, never all pairs. One pair per line is then verified by edit distance. One edit leaves the
+first or the last half of the words alone, halves of the shorter line's length. So only lines that
+share such a half with another line of a fitting length emit variants, and only those that delete a
+word outside the shared half. A line of ``MIN_WORDS`` words may go for an earlier one that is a word
+shorter. Equal lines are folded first.
 
 Texts are shuffled compressed. Blank lines always stay. NULL texts have no lines and stay NULL;
 repeated rows share their places, so neither removes the other's lines; an empty table gives an
@@ -32,7 +34,8 @@ from loomcat.llm.common import bound_batches
 from loomcat.session import materialize
 
 MIN_WORDS = 10
-_END = 5  # words at either end; half of MIN_WORDS at most
+# What a line shares halves for: a word replaced or deleted after its first half, or before its last one.
+_REPLACE_LATE, _REPLACE_EARLY, _DELETE_LATE, _DELETE_EARLY, _WHOLE = 1, 2, 4, 8, 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,19 +52,32 @@ def _end_hash(words: list[str], tag: str) -> int:
     return _signed(xxhash.xxh3_64_intdigest(tag + "\0".join(words)))
 
 
+_HALVES = ["head", "tail", "short_head", "short_tail"]
+_PLACES = "doc_id long, at int, h1 long, h2 long, head long, tail long, short_head long, short_tail long"
+
+
+def _half_hashes(words: list[str]) -> tuple[int | None, ...]:
+    """First and last half as shared with lines of this length or more, and with shorter ones."""
+    n = len(words)
+    if n < MIN_WORDS - 1:
+        return (None,) * 4
+    found = [_end_hash(words[: n // 2], f"h{n}"), _end_hash(words[-(n // 2) :], f"t{n}")]
+    if n < MIN_WORDS:
+        return *found, None, None
+    k = (n - 1) // 2
+    return *found, _end_hash(words[:k], f"h{n - 1}"), _end_hash(words[-k:], f"t{n - 1}")
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["doc_id", "at", "h1", "h2", "head", "tail"]
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 6]
+    names = ["doc_id", "at", "h1", "h2", *_HALVES]
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             for at, line in enumerate((text or "").split("\n")):
                 words = line.lower().split()
                 if words:
-                    ends = (None, None)
-                    if len(words) >= MIN_WORDS:
-                        ends = (_end_hash(words[:_END], "h"), _end_hash(words[-_END:], "t"))
-                    rows.append((doc_id, at, *_line_hash(words), *ends))
+                    rows.append((doc_id, at, *_line_hash(words), *_half_hashes(words)))
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -96,28 +112,39 @@ def _deletions(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of the wanted lines: ``role`` 0 with a word replaced, 1 with a word deleted, 2 whole."""
+    """Keys of the wanted lines: ``role`` 0 with a word replaced, 1 with a word deleted, 2 whole, 4
+    whole but too short to go; role 3 has the words.
+    """
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         ids, ats, keys, roles, hashed = [], [], [], [], []
         for doc_id, z, wanted in zip(*(batch[c].to_pylist() for c in ("doc_id", "_z", "_wanted")), strict=True):
             lines = unpack(z).decode().split("\n")
+            asked: dict[tuple[int, int], int] = {}
             for want in wanted:
-                words = lines[want["at"]].lower().split() if want["at"] < len(lines) else []
-                if len(words) < MIN_WORDS or _line_hash(words)[0] != want["h1"]:
+                asked[want["at"], want["h1"]] = asked.get((want["at"], want["h1"]), 0) | want["what"]
+            for (at, h1), what in asked.items():
+                words = lines[at].lower().split() if at < len(lines) else []
+                if not words or _line_hash(words)[0] != h1:
                     continue  # another row with this id
+                n = len(words)
                 h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
                 deleted, whole = _deletions(h)
+                late, early = n // 2 if what & _REPLACE_LATE else n, n // 2 if what & _REPLACE_EARLY else 0
+                at_words = np.concatenate([np.arange(early), np.arange(late, n)])
                 with np.errstate(over="ignore"):
-                    place = np.arange(1, len(h) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                    replaced = deleted ^ (place << np.uint64(1) | np.uint64(1))
-                once = np.unique(deleted)
+                    place = (at_words + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                    replaced = deleted[at_words] ^ (place << np.uint64(1) | np.uint64(1))
+                half = (n - 1) // 2
+                late, early = half if what & _DELETE_LATE else n, half if what & _DELETE_EARLY else 0
+                once = np.unique(np.concatenate([deleted[:early], deleted[late:]]))
+                whole = whole if what & _WHOLE else whole[:0]
                 found = np.concatenate([replaced, once, whole])
                 keys.append(found.view(np.int64))
-                roles.append(np.repeat([0, 1, 2], [len(h), len(once), 1]))
+                roles.append(np.repeat([0, 1, 2 if n >= MIN_WORDS else 4], [len(replaced), len(once), len(whole)]))
                 ids.extend([doc_id] * len(found))
-                ats.append(np.full(len(found), want["at"], np.int32))
-                hashed.append((doc_id, want["at"], (h >> np.uint64(1)).view(np.int64)))
+                ats.append(np.full(len(found), at, np.int32))
+                hashed.append((doc_id, at, (h >> np.uint64(1)).view(np.int64)))
         if keys:
             yield pa.record_batch(
                 {
@@ -154,11 +181,22 @@ def _one_edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near_lines(firsts: DataFrame, packed: DataFrame) -> DataFrame:
     """Places of distinct lines that have an earlier line one word away."""
-    ends = firsts.filter(F.col("head").isNotNull()).select("first", "h1", F.explode(F.array("head", "tail")).alias("end"))
-    shared = ends.groupBy("end").agg(F.count("*").alias("n")).filter("n > 1").select("end")
+    short = F.col("short_head").isNull()  # such lines cannot go, but longer ones can for them
+    ends = firsts.filter(F.col("head").isNotNull()).select(
+        "first", "h1", short.alias("short"), F.posexplode(F.array(*_HALVES)).alias("half", "end")
+    )
+    ends = ends.filter(F.col("end").isNotNull())
+    longer = F.col("half") > 1
+    shared = ends.groupBy("end").agg(F.count_if(~longer).alias("same"), F.count_if(longer).alias("longer"))
+    shared = shared.filter("same > 1 or same > 0 and longer > 0")
+    replace = F.when(F.col("half") == 0, _REPLACE_LATE).otherwise(_REPLACE_EARLY)
+    delete = F.when(F.col("half") == 2, _DELETE_LATE).otherwise(_DELETE_EARLY)
+    own = F.when(~F.col("short") & (F.col("same") > 1), replace).otherwise(0)
+    what = F.when(longer, delete).otherwise(own + F.when(F.col("longer") > 0, _WHOLE).otherwise(0))
     wanted = (
-        ends.join(shared, "end", "left_semi")
-        .select("first.doc_id", F.struct("first.at", "h1").alias("x"))
+        ends.join(shared, "end")
+        .select("first.doc_id", F.struct("first.at", "h1", what.alias("what")).alias("x"))
+        .filter("x.what > 0")
         .groupBy("doc_id")
         .agg(F.collect_set("x").alias("_wanted"))  # lines of one document
     )
@@ -174,10 +212,10 @@ def _near_lines(firsts: DataFrame, packed: DataFrame) -> DataFrame:
     replaced = found.filter("role = 0").select("key", place)
     earliest = replaced.groupBy("key").agg(F.min("place").alias("other"), F.max("place").alias("last"))
     same = replaced.join(earliest.filter("other < last").select("key", "other"), "key")
-    shorter = found.filter("role = 2").select("key", F.struct("doc_id", "at").alias("other"))
+    shorter = found.filter("role in (2, 4)").select("key", "role", F.struct("doc_id", "at").alias("other"))
     longer = found.filter("role = 1").select("key", place)
     beside = longer.join(shorter, "key")
-    turned = beside.groupBy(F.col("other").alias("place")).agg(F.min("place").alias("other"))
+    turned = beside.filter("role = 2").groupBy(F.col("other").alias("place")).agg(F.min("place").alias("other"))
     pairs = (
         same.select("place", "other")
         .unionAll(beside.select("place", "other"))
@@ -197,13 +235,10 @@ def _near_lines(firsts: DataFrame, packed: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents without repeated lines, with ``_n_lines`` (that hold words) and ``_n_dropped``."""
     bound_batches(docs.sparkSession)
-    places = docs.select("doc_id", "text").mapInArrow(
-        _places, "doc_id long, at int, h1 long, h2 long, head long, tail long"
-    )
-    places = materialize(places, "lines")
+    places = materialize(docs.select("doc_id", "text").mapInArrow(_places, _PLACES), "lines")
     place = F.struct("doc_id", "at")
     firsts = places.groupBy("h1", "h2").agg(
-        F.min(place).alias("first"), F.max(place).alias("last"), F.max("head").alias("head"), F.max("tail").alias("tail")
+        F.min(place).alias("first"), F.max(place).alias("last"), *[F.max(x).alias(x) for x in _HALVES]
     )
     firsts = materialize(firsts, "distinct-lines")
     packed = _packed(docs)
