@@ -1,19 +1,21 @@
 """Benchmark decontamination with spaced seeds.
 
-A mask selects six of up to eleven neighbouring tokens and ignores the others. The hashes of all
-masked windows of the test items meet those of the training texts in a join; around each hit, item
-and text are laid side by side without gaps and the equal tokens are counted. An overlap counts if
-some window of ``WINDOW`` tokens (the whole item if it is shorter) that covers the hit has at least
-``SHARE`` per cent equal tokens. The three masks together hit every such window: two substitutions in thirteen tokens,
-wherever they stand, leave one mask somewhere untouched.
-
-Tokens are lower-case runs of letters and digits. Items of fewer tokens than a mask spans are too
-short to tell a leak from ordinary language and are skipped. Seeds and items are broadcast in blocks
-of at most ``BLOCK`` seeds, one pass over the texts for each block, so that neither a large benchmark
-nor frequent seeds lead to a shuffle of the texts.
+A mask selects some of a few neighbouring tokens and ignores the others. The hashes of all masked
+windows of the test items meet those of the training texts in a join; around each hit, item and text
+are laid side by side without gaps and the equal tokens are counted. An overlap counts if some window
+of ``WINDOW`` tokens on the hit's diagonal (the whole item if it is shorter) has at least ``SHARE``
+per cent equal tokens. Every such window is hit: ``MASKS`` were chosen so that whatever places the
+allowed substitutions take, one mask lies somewhere beside them. Items of fewer tokens have fewer
+places for a mask, so they have masks of their own that select fewer tokens; texts are cut only by the
+masks of the lengths that the benchmark has.
+
+Tokens are lower-case runs of letters and digits. Items under ``MIN_TOKENS`` tokens are skipped: they
+allow no substitution, and finding "yes" or "the United States" in a text tells nothing. Seeds are
+broadcast in blocks of at most ``BLOCK`` rows, one pass over the texts for each block, so that neither
+a large benchmark nor frequent seeds lead to a shuffle of the texts.
 
 Native throughout. NULL and empty texts contain nothing; NULL items are skipped; repeated rows give
-one result; empty tables give an empty result; further columns are not read.
+one result; texts may have any length; empty tables give an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +28,19 @@ from pyspark.sql import functions as F
 from loomcat.llm.common import if_small, let
 from loomcat.session import materialize
 
-#: Offsets of the tokens that a mask selects.
-MASKS = [(0, 1, 5, 6, 7, 10), (0, 1, 2, 3, 5, 8), (0, 3, 7, 8, 9, 10)]
-SPAN = 1 + max(mask[-1] for mask in MASKS)
+#: Offsets of the tokens that a mask selects, by the least and most tokens of the items it is for.
+MASKS = {
+    (11, 2**31 - 1): [(0, 1, 3, 5, 6, 7), (0, 1, 2, 3, 5, 6), (0, 2, 3, 6, 7, 8), (0, 1, 2, 5, 7, 10)],
+    (10, 10): [(0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 3, 8, 9)],
+    (5, 9): [(0, 2, 3, 4), (0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4)],
+}
+MIN_TOKENS = 5
 WINDOW = 13
 SHARE = 80
-BLOCK = 1_000_000  # seeds; 50 MB when broadcast
+#: Tokens before a hit at which a window that covers it can begin, by the shortest mask of long items.
+BEFORE = WINDOW - 1 - min(mask[-1] for mask in MASKS[11, 2**31 - 1])
+BLOCK = 200_000  # seeds of some 220 bytes each when broadcast
+_NUMBERED = [(sizes, mask) for sizes, masks in MASKS.items() for mask in masks]
 
 
 def _tokens(text: Column) -> Column:
@@ -40,33 +49,35 @@ def _tokens(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
-def _seeds(tokens: str, at: str) -> Column:
-    """Hash of each mask laid at a place; NULL where it does not fit."""
-    keys = []
-    for n, mask in enumerate(MASKS):
-        chosen = [F.get(F.col(tokens), F.col(at) + o) for o in mask]
-        fits = F.col(at) + mask[-1] < F.size(tokens)
-        keys.append(F.when(fits, F.xxhash64(F.lit(n), *chosen)))
-    return F.array(*keys)
+def _masked(texts: DataFrame, key: str, numbers: list[int], by_size: bool = False) -> DataFrame:
+    """A row for each of the masks at each place: its hash and the tokens, NULL where it does not fit.
 
-
-def _masked(texts: DataFrame, key: str) -> DataFrame:
-    """A row for each mask at each place: its hash and the tokens around it, NULL outside the text."""
+    With ``by_size`` a text meets the masks of its own length only.
+    """
     # The outer form is meant: the other adds a filter that computes the tokens once more.
     placed = texts.select(key, "_tokens", F.posexplode_outer("_tokens").alias("_at", "_token")).drop("_token")
-    masked = placed.select(key, "_tokens", "_at", F.explode(_seeds("_tokens", "_at")).alias("_key"))
+    seeds = []
+    for n in numbers:
+        (least, most), mask = _NUMBERED[n]
+        fits = F.col("_at") + mask[-1] < F.size("_tokens")
+        if by_size:
+            fits &= F.size("_tokens").between(least, most)
+        chosen = [F.get(F.col("_tokens"), F.col("_at") + o) for o in mask]
+        found = F.xxhash64(F.lit(n), *chosen)
+        seeds.append(F.when(fits, F.struct(found.alias("key"), F.lit(mask[-1] + 1).alias("span")) if by_size else found))
+    masked = placed.select(key, "_tokens", "_at", F.explode(F.array(*seeds)).alias("_key"))
     return masked.filter(F.col("_key").isNotNull())
 
 
 def _near(name: str) -> Column:
-    around = range(-(WINDOW - SPAN), WINDOW)
+    around = range(-BEFORE, WINDOW)
     return F.array(*[F.get(F.col("_tokens"), F.col("_at") + o) for o in around]).alias(name)
 
 
 def _densest() -> Column:
-    """Most equal tokens in a window that covers the hit."""
+    """Most equal tokens in a window around the hit."""
     same = F.zip_with("_hit.near", "_hit.item", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
-    starts = range(WINDOW - SPAN + 1)
+    starts = range(BEFORE + 1)
     return let(
         same,
         lambda m: F.greatest(*[reduce(Column.__add__, [F.get(m, i + o) for o in range(WINDOW)]) for i in starts]),
@@ -81,38 +92,43 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = (
         benchmark.select("item_id", _tokens(F.col("text")).alias("_tokens"))
-        .filter(F.size("_tokens") >= SPAN)
+        .filter(F.size("_tokens") >= MIN_TOKENS)
         .distinct()
     )
+    every = list(range(len(_NUMBERED)))
     seeds = materialize(
-        _masked(items, "item_id")
-        .select(
-            "item_id", "_key", F.col("_at").alias("_item_at"), _near("_item_near"),
+        _masked(items, "item_id", every, by_size=True).select(
+            "item_id", F.col("_key.key").alias("_key"), F.col("_key.span").alias("_span"),
+            F.col("_at").alias("_item_at"), _near("_item_near"), F.size("_tokens").alias("_size"),
             F.least(F.lit(WINDOW), F.size("_tokens")).alias("_window"),
-        )
-        .withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(2**31 - 1))),
+        ),
         "seeds",
     )
-    blocks = max(1, -(-seeds.count() // BLOCK))
+    fitting = [F.count(F.when(F.col("_size").between(*sizes), True)) for sizes, _ in _NUMBERED]
+    total, *counts = seeds.agg(F.count("*"), *fitting).first()
+    used = [n for n in every if counts[n]] or every[:1]
+    blocks = max(1, -(-total // BLOCK))
+    block = F.pmod(F.xxhash64("_key", "item_id", "_item_at"), F.lit(blocks))
     texts = docs.select("doc_id", _tokens(F.col("text")).alias("_tokens"))
-    places = _masked(texts, "doc_id")
+    places = _masked(texts, "doc_id", used)
     found = [
-        places.join(F.broadcast(seeds.filter(F.col("_block") % blocks == b)), "_key")
-        .select("doc_id", "item_id", "_at", "_item_at", "_window", "_item_near", _near("_near"))
+        places.join(F.broadcast(seeds.drop("_size").filter(block == b)), "_key").select(
+            "doc_id", "item_id", "_at", "_span", "_item_at", "_window", "_item_near", _near("_near")
+        )
         for b in range(blocks)
     ]
     return (
         reduce(DataFrame.unionAll, found)
         # Behind an explode, the test is not moved into the join, whose generated code has to stay small.
         .select(
-            "doc_id", "item_id", "_at", "_item_at", "_window",
+            "doc_id", "item_id", "_at", "_span", "_item_at", "_window",
             F.explode(F.array(F.struct(F.col("_near").alias("near"), F.col("_item_near").alias("item")))).alias("_hit"),
         )
         .filter(100 * _densest() >= SHARE * F.col("_window"))
         .groupBy("doc_id", "item_id")
         .agg(
             F.min("_at").alias("first"),
-            (F.max("_at") + SPAN - 1).alias("last"),
+            F.max(F.col("_at") + F.col("_span") - 1).alias("last"),
             F.min(F.col("_at") - F.col("_item_at")).alias("start"),
         )
     )
