@@ -4,8 +4,9 @@ Fixed rules catch texts that are too short or repeat themselves. Everything else
 the documents of the same language and source: each rate is sketched as counts of per-mille values,
 a quantile sketch that merges by addition (absolute error at most 1 per mille), and a document is
 turned down if a rate exceeds the upper quartile by ``SPREAD`` interquartile ranges and a margin.
-Groups under ``MIN_GROUP`` documents use the merged sketch of their language, and languages under it
-the merged sketch of all.
+Limits shrink towards those of the merged sketches: a language's limit is the mean of its own, weighted
+by its documents, and that of all, weighted as ``PARENT`` documents; a group's in the same way of its
+own and its language's. So no size of a group changes the rule, and one more document changes little.
 
 Native throughout. NULL text counts as empty, NULL language or source as a value of its own; equal
 rows are judged alike; an empty table gives an empty result; further columns pass through.
@@ -21,7 +22,7 @@ from loomcat.session import materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 200
+PARENT = 200  # documents that the limit of the next larger group weighs as
 SPREAD = 3
 #: Per mille that a rate may exceed the fence of its group, so that uniform groups keep odd documents.
 MARGIN = {"symbol_rate": 20, "dup_line_rate": 400, "repeat_rate": 300}
@@ -154,22 +155,18 @@ def _fences(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def thresholds(cells: DataFrame) -> DataFrame:
-    """One row per language and source, with the fences of the smallest group that is large enough."""
+    """One row per language and source, with its fences shrunk towards those of the larger groups."""
     cells = materialize(cells, "sketch")
     own = _fences(cells, ["_lang", "_source"])
     lang = _fences(cells, ["_lang"]).select("_lang", F.struct("n", *_names()).alias("_of_lang"))
     every = _fences(cells.withColumn("_all", F.lit(1)), ["_all"])
     every = every.select("_all", F.struct("n", *_names()).alias("_of_all"))
-    chosen = F.when(F.col("n") >= MIN_GROUP, F.struct("n", *_names())).when(
-        F.col("_of_lang.n") >= MIN_GROUP, F.col("_of_lang")
-    ).otherwise(F.col("_of_all"))
-    return (
-        own.join(lang, "_lang")
-        .withColumn("_all", F.lit(1))
-        .join(every, "_all")
-        .withColumn("_chosen", chosen)
-        .select("_lang", "_source", *[F.col(f"_chosen.{n}").alias(n) for n in _names()])
-    )
+    shrunk = "({n} * {own} + {weight} * {parent}) div ({n} + {weight})"
+    limits = []
+    for name in _names():
+        of_lang = shrunk.format(n="_of_lang.n", own=f"_of_lang.{name}", weight=PARENT, parent=f"_of_all.{name}")
+        limits.append(F.expr(shrunk.format(n="n", own=name, weight=PARENT, parent=f"({of_lang})")).alias(name))
+    return own.join(lang, "_lang").withColumn("_all", F.lit(1)).join(every, "_all").select("_lang", "_source", *limits)
 
 
 def _names() -> list[str]:

@@ -89,9 +89,9 @@ WITH d AS (
   FROM q GROUP BY lang, source
 ), t AS (
   SELECT o.lang, o.source,
-    CASE WHEN o.n >= 200 THEN o.s WHEN l.n >= 200 THEN l.s ELSE e.s END AS s,
-    CASE WHEN o.n >= 200 THEN o.d WHEN l.n >= 200 THEN l.d ELSE e.d END AS d,
-    CASE WHEN o.n >= 200 THEN o.r WHEN l.n >= 200 THEN l.r ELSE e.r END AS r
+    (o.n * o.s + 200 * ((l.n * l.s + 200 * e.s) // (l.n + 200))) // (o.n + 200) AS s,
+    (o.n * o.d + 200 * ((l.n * l.d + 200 * e.d) // (l.n + 200))) // (o.n + 200) AS d,
+    (o.n * o.r + 200 * ((l.n * l.r + 200 * e.r) // (l.n + 200))) // (o.n + 200) AS r
   FROM (SELECT * FROM f WHERE source IS NOT NULL) o
   JOIN (SELECT * FROM f WHERE source IS NULL AND lang IS NOT NULL) l ON o.lang = l.lang
   CROSS JOIN (SELECT * FROM f WHERE lang IS NULL) e
