@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """``doc_id`` and ``score`` of every document."""
-    rows = model.orderBy("place").collect()  # bounded by the sample and by 2 ** BITS
+    # Bounded by the sample and by 2 ** BITS. Ordered here: a sort in Spark samples, and so fits, first.
+    rows = sorted(model.collect())
     table = docs.sparkSession.sparkContext.broadcast(
         (np.array([r["place"] for r in rows], np.int64), np.array([r["weight"] for r in rows], np.float32))
     )
