@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from loomcat.llm.common import let
 
 NEAR = 40  # characters before a span in which a context word counts
+PART = 512  # characters of the parts from which context is taken; more than NEAR
 ACCEPT = 0.6  # score from which a span without a checksum is reported
 
 # What precedes personal data, by kind.
@@ -146,24 +147,34 @@ def _find(kind: str, text: Column) -> Column:
     return F.when(worth, found).otherwise(F.array().cast(_SPANS))
 
 
-def _score(text: Column, span: Column, kinds: list[str]) -> Column:
+def _score(parts: Column, span: Column, kinds: list[str]) -> Column:
     start = span["start"]
-    before = F.lower(
-        F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
-    )
-    score = F.lit(None).cast("double")
-    for kind in kinds:
-        raised = F.when(before.rlike(CONTEXT[kind]), min(1.0, PRIOR[kind] + RAISE))
-        score = F.when(span["kind"] == kind, raised.otherwise(PRIOR[kind])).otherwise(score)
-    return score
+    begin = F.greatest(start - NEAR, F.lit(0))
+    n = F.floor(begin / PART).cast("int")
+    both = F.concat(F.coalesce(F.get(parts, n), F.lit("")), F.coalesce(F.get(parts, n + 1), F.lit("")))
+    before = F.lower(F.substring(both, begin - n * PART + 1, start - begin))
+
+    def scored(context: Column) -> Column:
+        score = F.lit(None).cast("double")
+        for kind in kinds:
+            raised = F.when(context.rlike(CONTEXT[kind]), min(1.0, PRIOR[kind] + RAISE))
+            score = F.when(span["kind"] == kind, raised.otherwise(PRIOR[kind])).otherwise(score)
+        return score
+
+    return let(before, scored)
 
 
 def _scored(text: Column, spans: Column, kinds: list[str]) -> Column:
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-            s["value"].alias("value"), _score(text, s, kinds).alias("score"),
+    # Parts, because a place in a text is found by counting its characters from the front.
+    whole = F.when(F.size(spans) > 0, text).otherwise("")
+    return let(
+        F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)),
+        lambda parts: F.transform(
+            spans,
+            lambda s: F.struct(
+                s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
+                s["value"].alias("value"), _score(parts, s, kinds).alias("score"),
+            ),
         ),
     )
 
@@ -185,9 +196,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         .withColumns({"_base": base, "_added": added})
         .withColumns(
             {
-                "base": F.when(F.size("_base") > 0, _scored(text, F.col("_base"), KINDS)).otherwise(
-                    _scored(F.lit(""), F.col("_base"), KINDS)
-                ),
+                "base": _scored(text, F.col("_base"), KINDS),
                 "_added": F.filter(
                     _scored(text, F.col("_added"), ADDED),
                     lambda s: (s["score"] >= ACCEPT) & apart(s, F.col("_base")),
