@@ -2,11 +2,13 @@
 
 The corpus is counted by pre-token; each distinct pre-token is encoded once, and its number of
 pieces meets the documents' pre-token frequencies in a join, where the products are summed. The
-``FREQUENT`` commonest pre-tokens, a table of fixed size, are joined where the texts are read, so
-that a document sends one sum for them; all other pre-tokens go through a shuffled join. No
-pre-token is hot there, because the hot ones are among the commonest. Ids are never kept.
+commonest pre-tokens, at most ``FREQUENT`` of at most ``SHORT`` bytes, are joined where the texts are
+read, so that a document sends one sum for them; all other pre-tokens go through a shuffled join. How
+common they are is read off a histogram of counts, so only they reach the driver. No short pre-token is
+hot in the join, because the hot ones are among the commonest; a long one takes many bytes of every
+text it stands in, and its rows are split as a skewed join. Ids are never kept.
 
-A row is known by its id and a hash of its text. NULL texts count as empty, rows with a NULL id stay;
+A row is known by its id, a 64-bit hash of its text, and its bytes. NULL texts count as empty, rows with a NULL id stay;
 repeated rows each get a row; an empty table gives an empty result; further columns are not read.
 """
 
@@ -24,6 +26,7 @@ from loomcat.llm.common import bound_batches
 from loomcat.session import materialize
 
 FREQUENT = 1 << 17
+SHORT = 256  # bytes; with FREQUENT, 32 MB in the driver and in each worker at most
 LIMIT = 512
 
 
@@ -42,20 +45,17 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
         definition = spark.sparkContext.broadcast(file.read())
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        "doc_id", F.hash(text).alias("print"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")
+        "doc_id", F.xxhash64(text).alias("print"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")
     )
     pieces = _pieces(rows.select("text"), definition)
     common = spark.sparkContext.broadcast(
-        {
-            r["piece"]: r["size"]
-            for r in pieces.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece", "size").collect()
-        }
+        {r["piece"]: r["size"] for r in _commonest(pieces).select("piece", "size").collect()}
     )
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, sizes = PreTokens(definition.value).split, common.value
         for batch in _parts(batches):
-            ids, prints, sums, names, times = [], [], [], [], []
+            ids, names, times = [], [], []
             at = 0
             bases = []
             for value in batch["text"].to_pylist():
@@ -72,7 +72,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
                 at += 1
             rest = len(names)
             # One row for the document itself; its key equals no pre-token and is spread over tasks.
-            names.extend("\0" + str(i) for i in range(at))
+            names.extend(f"\0{mark}:{i}" for i, mark in enumerate(batch["print"].to_pylist()))
             times.extend([0] * at)
             take = pa.array(ids + list(range(at)), pa.int64())
             sums = pa.array([0] * rest + bases, pa.int64())
@@ -90,7 +90,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
 
     found = rows.mapInArrow(
         frequencies,
-        "doc_id long, print int, n_bytes long, base long, piece string, times long, known long",
+        "doc_id long, print long, n_bytes long, base long, piece string, times long, known long",
     )
     tokens = F.col("known") + F.col("times") * F.coalesce(F.col("size"), F.lit(0))
     return (
@@ -107,6 +107,24 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
     )
 
 
+def _commonest(pieces: DataFrame) -> DataFrame:
+    """The short pre-tokens of the highest counts, as many whole classes of counts as fit ``FREQUENT``.
+
+    A class holds counts within a ninth of each other, so there are a few hundred. One that does not fit
+    any more holds so many pre-tokens that none of them is hot.
+    """
+    short = pieces.filter(F.octet_length("piece") <= SHORT)
+    of = F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")
+    sizes = short.groupBy(of.alias("class")).agg(F.count("*").alias("pieces")).collect()
+    least, total = None, 0
+    for row in sorted(sizes, reverse=True):
+        total += row["pieces"]
+        if total > FREQUENT:
+            break
+        least = row["class"]
+    return short.filter(of >= least) if least is not None else short.limit(0)
+
+
 def _pieces(texts: DataFrame, definition) -> DataFrame:
     """Every distinct pre-token, how often it occurs, and its number of pieces."""
 
