@@ -2,14 +2,16 @@
 
 Pages are ordered by host and URL path, so that the nearest pages by path are neighbours. The text
 lines (blocks) of each page are aligned with those of its neighbours by a longest common
-subsequence. Markup decides the plain cases: blocks inside an article or main element are content,
-blocks inside navigation, page headers and footers, sidebars, notices, adverts, forms and comments
-are not, nor is anything outside the content of a page that marks it. In all other pages, blocks go
-if a neighbour has them too. A neighbour that holds every such block is
-a copy of the page, tells nothing, and is passed over.
+subsequence. Markup decides what neighbours cannot tell, since menus and adverts differ from page to
+page and articles quote each other: blocks inside an article or main element are content, whatever
+its class; blocks inside navigation, page headers and footers, sidebars, notices, adverts, forms and
+comments are not, nor is unmarked text beside content that makes up the larger part of a page. All
+other blocks go if a neighbour has them too. A neighbour that holds every such block is a copy of the
+page, tells nothing, and is passed over.
 
 Only hashes of lines travel between neighbours: the order is a distributed range sort, and each page
-meets its neighbours in joins on the ordinal, whatever the size of a host. NULL html gives an empty
+meets its neighbours in joins on the ordinal, whatever the size of a host. Pages are read in one pass,
+also malformed ones of any length; a tag that a page ends within takes the rest with it. NULL html gives an empty
 text, a NULL URL the host ""; repeated rows each get a row; an empty table gives an empty result;
 further columns are not read.
 """
@@ -17,9 +19,9 @@ further columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -40,7 +42,7 @@ _BLOCK = set(
 )
 _NO_TEXT = set(
     "head title script style noscript template svg iframe object canvas audio video button select "
-    "textarea form fieldset label input datalist math".split()
+    "textarea label input datalist math".split()
 )
 _BESIDE = set("nav footer aside menu dialog".split())
 _CONTENT = {"article", "main"}
@@ -53,25 +55,102 @@ _BESIDE_WORDS = set(
 )
 _BESIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)"""
-    r"""|<(script|style)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>"""
-    r"""|<[!?/][^>]*>""",
-    re.S | re.I,
-)
+# What beside such a word in a class tells that the thing is absent or in some state.
+_MODIFIERS = set("no not has have with without hide hidden is js can close closed open opened enabled disabled on off".split())
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TAG_PART = re.compile(r">|=\s*([\"'])")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Opening one of these closes an open one of the same group.
 _SIBLINGS = {"p": "p", "li": "li", "dt": "d", "dd": "d", "td": "c", "th": "c", "tr": "r", "option": "o"}
 
-CONTENT, OPEN, BESIDE = "content", "open", "beside"
+_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+CONTENT, OPEN, BESIDE, FORM = "content", "open", "beside", "form"
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """Markup of a page in one pass: begin, end, element name ("" for none), attributes, end tag or not.
+
+    Quotes are heeded after ``=``. What the page ends within goes with the rest of the page; a quote that
+    is never closed is a plain character. Scripts and styles are taken with their content.
+    """
+    at, last, unclosed = html.find("<"), len(html), set()
+    while at >= 0:
+        tag = _TAG.match(html, at)
+        if not tag:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                end = last if end < 0 else end + 3
+            elif html.startswith(("<!", "<?", "</"), at):
+                end = html.find(">", at + 2)
+                end = last if end < 0 else end + 1
+            else:
+                at = html.find("<", at + 1)
+                continue
+            yield at, end, "", "", False
+        else:
+            name, part = tag[2].lower(), _TAG_PART.search(html, tag.end())
+            while part and part[1]:
+                close = -1 if part[1] in unclosed else html.find(part[1], part.end())
+                if close < 0:
+                    unclosed.add(part[1])
+                    close = part.end() - 1
+                part = _TAG_PART.search(html, close + 1)
+            end = part.end() if part else last
+            attributes = html[tag.end() : end - 1] if part else ""
+            if name in _RAW and not tag[1] and part:
+                close = _RAW[name].search(html, end)
+                yield at, close.end() if close else last, "", "", False
+                end = close.end() if close else last
+            else:
+                yield at, end, name if part else "", attributes, bool(tag[1])
+        at = html.find("<", end)
+
+
+class _Open:
+    """The open elements with their zones (None: no text); finds the one to close without a search."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str | None]] = []
+        self._places: dict[str, list[int]] = defaultdict(list)
+
+    def _kinds(self, name: str) -> Iterator[str]:
+        yield name
+        if name in _SIBLINGS:
+            yield "sibling " + _SIBLINGS[name]
+        elif name in _BLOCK:
+            yield "wall"
+
+    @property
+    def zone(self) -> str | None:
+        return self.stack[-1][1] if self.stack else OPEN
+
+    def push(self, name: str, zone: str | None) -> None:
+        for kind in self._kinds(name):
+            self._places[kind].append(len(self.stack))
+        self.stack.append((name, zone))
+
+    def _cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            for kind in self._kinds(self.stack.pop()[0]):
+                self._places[kind].pop()
+
+    def end(self, name: str) -> None:
+        if self._places[name]:
+            self._cut(self._places[name][-1])
+
+    def end_sibling(self, name: str) -> None:
+        """Elements with an optional end tag end where the next of their kind begins."""
+        places, walls = self._places["sibling " + _SIBLINGS[name]], self._places["wall"]
+        if places and (not walls or walls[-1] < places[-1]):
+            self._cut(places[-1])
 
 
 def blocks(html: str) -> list[tuple[str, str]]:
     """The page's text blocks and their zones, in order."""
     found: list[tuple[str, str]] = []
     words: list[str] = []
-    stack: list[tuple[str, str | None]] = []  # element and its zone; None: no text
+    elements = _Open()
     zone: str | None = OPEN
     block_zone: str | None = OPEN
 
@@ -82,47 +161,44 @@ def blocks(html: str) -> list[tuple[str, str]]:
         words.clear()
 
     at = 0
-    for m in _MARKUP.finditer(html):
-        if zone and m.start() > at:
-            words.append(html[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    for begin, end, name, attributes, closing in _tags(html):
+        if zone and begin > at:
+            words.append(html[at:begin])
+        at = end
+        if not name:
             continue
-        name = m[3].lower()
         if name == "br":
             words.append(" ")
             continue
         if name in _BLOCK:
             flush()
-        if m[2]:
-            if any(name == open_name for open_name, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+        if closing:
+            elements.end(name)
         else:
             if name in _SIBLINGS:
-                _close_sibling(stack, name)
-            if name not in _VOID and not m[4].endswith("/"):
-                zone = stack[-1][1] if stack else OPEN
-                stack.append((name, _zone(name, m[4], zone)))
-        zone = stack[-1][1] if stack else OPEN
+                elements.end_sibling(name)
+            if name not in _VOID and not attributes.endswith("/"):
+                elements.push(name, _zone(name, attributes, elements.zone))
+        zone = elements.zone
         block_zone = zone if name in _BLOCK or not words else block_zone
     if zone:
         words.append(html[at:])
     flush()
-    if any(z == CONTENT for _, z in found):
-        return [(text, BESIDE if z == OPEN else z) for text, z in found]
-    return found
+    return _settled(found)
+
 
+def _settled(found: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Zones in view of the whole page.
 
-def _close_sibling(stack: list[tuple[str, str | None]], name: str) -> None:
-    """Elements with an optional end tag end where the next of their kind begins."""
-    for depth in range(len(stack) - 1, -1, -1):
-        other = stack[depth][0]
-        if _SIBLINGS.get(other) == _SIBLINGS[name]:
-            del stack[depth:]
-            return
-        if other in _BLOCK and other not in _SIBLINGS:
-            return
+    A form around everything is the page, not a form. Text outside of marked content goes if the marked
+    content is the larger part; otherwise only teasers are marked, and the neighbours decide.
+    """
+    zones = {zone for _, zone in found}
+    form = OPEN if zones.isdisjoint((CONTENT, OPEN)) else BESIDE
+    marked = sum(len(text) for text, zone in found if zone == CONTENT)
+    unmarked = sum(len(text) for text, zone in found if zone == OPEN)
+    other = BESIDE if marked and marked >= unmarked else OPEN
+    return [(text, {FORM: form, OPEN: other}.get(zone, zone)) for text, zone in found]
 
 
 def _zone(name: str, attributes: str, outer: str | None) -> str | None:
@@ -130,6 +206,8 @@ def _zone(name: str, attributes: str, outer: str | None) -> str | None:
         return None
     if outer == BESIDE or name in _BESIDE or (name == "header" and outer != CONTENT):
         return BESIDE
+    if name in _CONTENT:
+        return CONTENT
     if attributes and name not in ("html", "body"):
         for m in _NAMED.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
@@ -138,9 +216,15 @@ def _zone(name: str, attributes: str, outer: str | None) -> str | None:
                     return BESIDE
                 if value == "main":
                     return CONTENT
-            elif not _BESIDE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+            elif any(map(_names_beside, value.split())):
                 return BESIDE
-    return CONTENT if name in _CONTENT else outer
+    return FORM if name == "form" and outer != CONTENT else outer
+
+
+def _names_beside(value: str) -> bool:
+    """Whether a class or id names what is not content: ``sidebar-left``, ``site-footer``; not ``no-sidebar``."""
+    parts = re.split(r"[^a-z0-9]+", value)
+    return not _BESIDE_WORDS.isdisjoint(parts) and _MODIFIERS.isdisjoint(parts)
 
 
 def common_lines(ours: list[int], theirs: list[int]) -> list[int]:
@@ -236,6 +320,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     lines = rows.select("page_id", "print", "host", "path", "html").mapInArrow(
         _lines, "page_id long, print long, host string, path string, lines array<long>, unsure array<boolean>"
     )
+    lines = materialize(lines, "page-lines")  # the sort samples its input, and would parse all pages twice
     placed = materialize(with_ordinal(lines, "host", "path", "page_id", "print"), "ordered-pages")
 
     def neighbour(name: str, step: int) -> DataFrame:
