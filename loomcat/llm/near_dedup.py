@@ -9,8 +9,8 @@ in a hundred thousand. Links are confirmed on the full sets.
 Documents with equal sets are folded into one first. In each bucket (documents with equal table key)
 candidates are not all pairs: all members meet the smallest, then the one with most confirmed links;
 after each, components are formed. Members of one component need no comparison. Members that are left
-in different components are not paired either: each looks for shingles that it shares with others
-beyond those of the centre it resembles most (``_rest``), which loses no link.
+in different components are not paired either: they meet by the shingles that set them apart from
+their bucket's smallest member (``_rest``), which loses no link of the bucket.
 
 Words are separated by ASCII white space, with A-Z in lower case; a document of one word has that
 word as its only shingle; documents without words have no links. NULL texts have no words; rows with
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcat.llm.common import bound_batches, if_small
@@ -140,14 +140,35 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, names=["a", "b", "both", "linked"])
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_compare``, with the sizes of the sets, a mark of b's set and what only one of them has."""
+    for batch in batches:
+        for compared in _compare(iter([batch])):
+            sizes, marks, apart = [], [], []
+            for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                sizes.append((len(x), len(y)))
+                marks.append(int(y.sum()))
+                apart.append(np.setxor1d(x, y, assume_unique=True))
+            more = {
+                "n_a": pa.array([n for n, _ in sizes], pa.int64()),
+                "n_b": pa.array([n for _, n in sizes], pa.int64()),
+                "mark": pa.array(marks, pa.int64()),
+                "apart": pa.array(apart, pa.list_(pa.int64())),
+            }
+            yield pa.record_batch([*compared.columns, *more.values()], names=[*compared.schema.names, *more])
+
+
+_COMPARED = "a long, b long, both long, linked boolean"
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, differ: bool = False) -> DataFrame:
     """Pairs (a, b) of documents with the size of their intersection, and whether they are linked."""
     theirs = [sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b")]
+    beside = pairs.join(theirs[0], "a").join(theirs[1], "b").select("a", "b", "set_a", "set_b")
+    more = ", n_a long, n_b long, mark long, apart array<long>"
     return materialize(
-        pairs.join(theirs[0], "a").join(theirs[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(
-            _compare, "a long, b long, both long, linked boolean"
-        ),
-        "compared",
+        beside.mapInArrow(_differ, _COMPARED + more) if differ else beside.mapInArrow(_compare, _COMPARED), "compared"
     )
 
 
@@ -210,66 +231,45 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(named.join(mixed.select("key"), "key", "left_semi"), "mixed")
 
 
-def _band(n: Column) -> Column:
-    """Number of the range of sizes, in steps of a twentieth, that ``n`` falls into."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05))).cast("int")
-
+def _rest(left: DataFrame, first: DataFrame, compared: DataFrame) -> DataFrame:
+    """Candidates among members of different components: all pairs that the first comparison leaves open.
 
-def _rest(left: DataFrame, compared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidates among members of different components: all pairs that the sizes of sets leave open.
+    Two documents x and y of a bucket have both been compared with its first member c. With O the
+    number of shingles that stand in x or c but not both, and in y or c but not both, they share
+    |x & c| + |y & c| - |c| + O. So they are linked if and only if ``(100 + PERCENT) * O`` reaches
+    ``lack(x) + lack(y) - (100 - PERCENT) * |c|``, where ``lack(x)`` is
+    ``100 * |c| + PERCENT * |x| - (100 + PERCENT) * |x & c|``; x is linked to c itself if its lack is
+    at most ``(100 - PERCENT) * |c|``. Of two components at most one is linked to c, so O is above 0.
 
-    Of two components the smaller one's members look for the other's. Such a document, of n shingles,
-    puts those shingles first that are not in the set most like it among those it was compared with,
-    the rarest of all first, and those of that set last. A pair whose first common shingle stands at
-    place i (from 0) has at most n - i in common, so the other has at most 9 (n - i) / 4 - n shingles
-    if they are linked. Shingles therefore meet those of documents of such sizes only. If the common
-    shingles all belong to that set, this holds for the number of them; what is left open then are the
-    smaller documents of the same bucket. In a large group of near copies the set compared with holds
-    what the group shares, and what a document has besides it is rare.
+    Documents therefore meet by what sets them apart from c, the rarest first: if ``room`` such
+    shingles are left, counting the one they meet at, O is at most the smaller room, unless they
+    have met before. What members of a large group of near copies share stands in c and meets nothing.
     """
-    own = F.struct("weight", "root")
-    nodes = materialize(left.select("id", "n", "weight", "root").distinct(), "nodes")
-    largest = left.groupBy("key").agg(F.max(own).alias("top"))
-    seekers = left.join(largest, "key").filter(own < F.col("top")).select("id").distinct()
-    sides = compared.select(F.col("a").alias("id"), F.col("b").alias("c"), "both").unionAll(
-        compared.select(F.col("b").alias("id"), F.col("a").alias("c"), "both")
-    )
-    best = sides.join(seekers, "id", "left_semi").groupBy("id").agg(F.max(F.struct("both", "c")).alias("best"))
-    seekers = seekers.join(best, "id", "left").select(
-        "id", F.col("best.c").alias("c"), F.coalesce("best.both", F.lit(0)).alias("both")
-    )
-    seekers = materialize(seekers.join(nodes, "id"), "seekers")
-    whole = sets.join(nodes, "id").filter(F.size("set") == F.col("n")).dropDuplicates(["id", "n"])
-    whole = materialize(whole, "mixed-sets")
-    centres = seekers.select("c").distinct()
-    theirs = sets.join(centres, F.col("id") == F.col("c"), "left_semi").dropDuplicates(["id"])
-    theirs = theirs.select(F.col("id").alias("c"), F.col("set").alias("theirs"))
-    besides = F.array_except("set", F.coalesce("theirs", F.array().cast("array<bigint>")))
-    beyond = seekers.select("id", "n", "c").join(whole.select("id", "n", "set"), ["id", "n"]).join(theirs, "c", "left")
-    beyond = materialize(beyond.select("id", "n", F.explode(besides).alias("shingle")), "beyond")
-    held = whole.select("id", "n", "weight", "root", F.explode("set").alias("shingle"))
-    wanted = beyond.select("shingle").distinct()
-    held = materialize(held.join(wanted, "shingle", "left_semi"), "held")
-    common = held.groupBy("shingle").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("id", "n").orderBy("df", "shingle")  # shingles of one document
-    placed = beyond.join(common, "shingle").withColumn("i", F.row_number().over(order) - 1).filter("df > 1")
-    least = F.expr(f"({PERCENT} * n + 99) div 100")
-    reach = F.expr(f"((100 + {PERCENT}) * (n - i)) div {PERCENT} - n")
-    bands = F.explode(F.sequence(_band(F.col("least")), _band(F.col("reach")))).alias("band")
-    limits = placed.withColumn("least", least).withColumn("reach", reach).filter("reach >= least")
-    seeking = limits.select("id", "n", "shingle", "least", "reach", bands).join(
-        seekers.select("id", "n", "weight", "root"), ["id", "n"]
-    )
-    others = [F.col(x).alias(f"o_{x}") for x in ("id", "n", "weight", "root")]
-    fits = F.col("o_n").between(F.col("least"), F.col("reach"))
-    fits &= own < F.struct(F.col("o_weight").alias("weight"), F.col("o_root").alias("root"))
-    by_shingle = seeking.join(held.select("shingle", _band(F.col("n")).alias("band"), *others), ["shingle", "band"])
-    inside = seekers.withColumn("least", least).withColumn("i", F.col("n") - F.col("both")).withColumn("reach", reach)
-    inside = inside.filter("reach >= least").select("id", "weight", "root", "least", "reach", bands)
-    keyed = left.select("key", _band(F.col("n")).alias("band"), *others)
-    by_key = left.select("id", "key").distinct().join(inside, "id").join(keyed, ["key", "band"])
-    pair = [F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")]
-    return by_shingle.filter(fits).select(*pair).unionAll(by_key.filter(fits).select(*pair)).distinct()
+    own, theirs = F.struct("weight", "root"), F.struct("o_weight", "o_root")
+    seats = left.join(first.select("key", "c"), "key").filter("id <> c").select("id", "c", "weight", "root").distinct()
+    tops = seats.groupBy("c").agg(F.min(own).alias("low"), F.max(own).alias("top")).filter("low < top")
+    seats = seats.join(tops, "c").select("id", "c", "weight", "root", (own < F.col("top")).alias("seeks"))
+    lack = 100 * F.col("n_b") + PERCENT * F.col("n_a") - (100 + PERCENT) * F.col("both")
+    apart = compared.select(
+        F.col("a").alias("id"), F.col("b").alias("c"), F.col("n_a").alias("n"), lack.alias("lack"),
+        ((100 - PERCENT) * F.col("n_b")).alias("slack"), F.xxhash64("b", "mark").alias("centre"),
+        F.xxhash64("a", "b", "mark", "apart").alias("seat"), "apart",
+    )
+    apart = materialize(apart.join(seats, ["id", "c"]).dropDuplicates(["seat"]), "apart")
+    beyond = apart.select("centre", "seat", F.explode("apart").alias("shingle"))
+    common = beyond.groupBy("centre", "shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    rarest_last = Window.partitionBy("seat").orderBy(F.desc("df"), F.desc("shingle"))  # shingles of one document
+    placed = beyond.join(common, ["centre", "shingle"]).withColumn("room", F.row_number().over(rarest_last))
+    # Those linked to c look for others that are not, which lack more than ``slack``.
+    least = F.when(F.col("lack") <= F.col("slack"), F.col("lack") + 1).otherwise(F.col("lack") - F.col("slack"))
+    placed = placed.join(apart.drop("apart", "centre"), "seat").filter((100 + PERCENT) * F.col("room") >= least)
+    placed = materialize(placed.select("centre", "shingle", "room", "id", "n", "lack", "slack", "weight", "root", "seeks"), "placed")
+    others = [F.col(x).alias(f"o_{x}") for x in ("room", "id", "n", "lack", "weight", "root")]
+    fits = (100 + PERCENT) * F.least("room", "o_room") >= F.col("lack") + F.col("o_lack") - F.col("slack")
+    fits &= 100 * F.least("n", "o_n") >= PERCENT * F.greatest("n", "o_n")
+    met = placed.filter("seeks").join(placed.select("centre", "shingle", *others), ["centre", "shingle"])
+    met = met.filter(fits & (own < theirs.cast("struct<weight:bigint,root:bigint>")))
+    return met.select(F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -302,7 +302,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     first = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"))
     first = first.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"))
-    compared = _compared(_pairs(members, first), sets)
+    met = members.join(first.select("key", "c"), "key").filter("id <> c")
+    met = met.select(F.col("id").alias("a"), F.col("c").alias("b")).distinct()
+    compared = _compared(met, sets, differ=True)
     left = _labelled(members, _links(compared))
     degrees = (
         _links(compared).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
@@ -311,9 +313,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     second = ranked.groupBy("key").agg(F.max(F.struct("degree", "id", "n", "root")).alias("c"))
     second = second.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"), F.col("c.root").alias("cr"))
     tried = _pairs(left.join(second.select("key", "cr"), "key").filter("root <> cr"), second.drop("cr"))
-    compared = compared.unionAll(_compared(tried, sets))
-    left = _labelled(left.drop("root", "weight"), _links(compared))
-    links = _links(compared).unionAll(_links(_compared(_rest(left, compared, sets), sets)))
+    links = _links(compared).unionAll(_links(_compared(tried, sets)))
+    left = _labelled(left.drop("root", "weight"), links)
+    links = links.unionAll(_links(_compared(_rest(left, first, compared), sets)))
     roots = components(links).withColumnRenamed("node", "id")
     named = classes.join(roots, "id", "left").select(
         "s1", "s2", "n_shingles", F.coalesce("root", "id").alias("component_id")
