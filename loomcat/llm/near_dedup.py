@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcat.llm.common import bound_batches, if_small
+from loomcat.llm.common import among, bound_batches, if_small
 from loomcat.llm.graph import components
 from loomcat.session import materialize
 
@@ -163,7 +163,13 @@ _COMPARED = "a long, b long, both long, linked boolean"
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, differ: bool = False) -> DataFrame:
-    """Pairs (a, b) of documents with the size of their intersection, and whether they are linked."""
+    """Pairs (a, b) of documents with the size of their intersection, and whether they are linked.
+
+    With ``differ`` pairs name nearly all sets; otherwise few, and only those are shuffled.
+    """
+    if not differ:
+        pairs = materialize(pairs, "pairs")
+        sets = among(sets, "id", pairs.select(F.explode(F.array("a", "b"))), "paired")
     theirs = [sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b")]
     beside = pairs.join(theirs[0], "a").join(theirs[1], "b").select("a", "b", "set_a", "set_b")
     more = ", n_a long, n_b long, mark long, apart array<long>"
@@ -293,13 +299,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classes",
     )
     members = _buckets(nodes)
-    wanted = members.select("id").distinct()
-    sets = materialize(
-        docs.select("doc_id", "text")
-        .join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-        .mapInArrow(_full_sets, "id long, set array<long>"),
-        "sets",
-    )
+    wanted = among(docs.select("doc_id", "text"), "doc_id", members.select("id"), "wanted")
+    sets = materialize(wanted.mapInArrow(_full_sets, "id long, set array<long>"), "sets")
     first = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"))
     first = first.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"))
     met = members.join(first.select("key", "c"), "key").filter("id <> c")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from loomcat.llm import near_dedup
+from loomcat.llm import common, near_dedup
 
 
 def test_strays_of_a_large_group(spark, monkeypatch):
@@ -86,3 +86,35 @@ def test_groups_at_the_threshold_equal_brute_force(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame).collect()}
     assert got == dict(enumerate(want))
     assert 12 < len(set(want)) < len(texts) and counts[0] > 0
+
+
+def test_texts_without_a_bucket_are_not_shuffled(spark, monkeypatch):
+    rows = [(i, " ".join(f"t{i}w{j}" for j in range(30))) for i in range(400)]
+    rows += [(400 + i, rows[i][1] + " more") for i in range(5)]
+    written, write = {}, near_dedup.materialize
+
+    def recorded(table, label):
+        written.setdefault(label, table)
+        return write(table, label)
+
+    monkeypatch.setattr(near_dedup, "materialize", recorded)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with very many documents
+    try:
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame).collect()}
+        plan = written["sets"]._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: i - 400 if i >= 400 else i for i in range(405)}
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+
+
+def test_rows_among_ids(spark):
+    rows = spark.createDataFrame([(i, "x") for i in [*range(-3000, 3000), None]], "k long, v string")
+    ids = spark.range(-9000, 9000, 3).unionAll(spark.range(-9, 9, 3))
+    want = [(i, "x") for i in range(-3000, 3000, 3)]
+    assert sorted(map(tuple, common.among(rows, "k", ids, "ids").collect())) == want
+    passed = {r["k"] for r in common.perhaps(rows, "k", ids.distinct()).collect()}
+    assert passed >= {k for k, _ in want} and len(passed) < 2000 + 0.15 * 4000
+    assert common.among(rows, "k", ids.limit(0), "none").count() == 0
