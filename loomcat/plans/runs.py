@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomcat.operators.dedup import first_per_key, top_per_key
 from loomcat.schemas import RUNS
-from loomcat.session import materialize, setting
 from loomcat.sinks.catalog import CatalogDatabase
 
 DEFAULT_LIMIT = 100  # fixed value: items a read gives unless told otherwise
@@ -126,20 +128,22 @@ class RunStore:
     def save_runs(self, items: DataFrame, moment: Column, seq: Column) -> None:
         """Store items of one or more runs and one metadata row per run.
 
-        The items are computed once, into the shared folder, so that the stored rows and their
-        counts agree whatever the plan behind them does. The rebalance hint gives each run few files
-        and splits a run that is very large. A run saved again, also by a retried job, takes the
-        place of its earlier items.
+        The items are computed and written once, to a folder of their own below the table; the
+        counts are those of the written rows, so both agree whatever the plan behind them does. The
+        rebalance hint gives each run few files and splits a run that is very large. The table's
+        partitions are then pointed to the folder. A run saved again, also by a retried job, takes
+        the place of its earlier items.
         """
-        columns = self.items().columns
-        keys = [F.col(c) for c in ITEM_PARTITIONS]
-        items = materialize(items.select(*columns), "run-items")
-        rows = items.hint("rebalance", *keys)
-        with setting(self.db.spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
-            rows.write.insertInto(self.db.qualified("run_items"), overwrite=True)
+        spark, table = self.db.spark, self.db.qualified("run_items")
+        schema = self.items().schema
+        path = f"{self.db.location('run_items')}/saved-{uuid.uuid4().hex}"
+        rows = items.select(*schema.names).hint("rebalance", *(F.col(c) for c in ITEM_PARTITIONS))
+        rows.write.option("compression", "zstd").partitionBy(*ITEM_PARTITIONS).parquet(path)
+        written = spark.read.schema(schema).parquet(path)
+        self._point(table, written.select(*ITEM_PARTITIONS, F.col("_metadata.file_path").alias("file")))
         self.db.append(
             "runs",
-            run_item_count(items).select(
+            run_item_count(written).select(
                 F.col("scrape_id").alias("id"),
                 "brand",
                 "item_count",
@@ -149,6 +153,21 @@ class RunStore:
             ),
         )
 
+    def _point(self, table: str, files: DataFrame) -> None:
+        """Make the folders of written files the table's partitions of their runs, one row per run."""
+        # A file's path is given as a URI, a partition's location as plain text. Only a sort finds the
+        # least of texts by run, so the files are listed; there are few for each run.
+        found = {(r[0], r[1]): unquote(r["file"].rsplit("/", 1)[0]) for r in files.distinct().collect()}
+        runs = list(found.items())
+        for begin in range(0, len(runs), 100):
+            part = runs[begin : begin + 100]
+            specs = [", ".join(f"{c} = {_literal(x)}" for c, x in zip(ITEM_PARTITIONS, run, strict=True)) for run, _ in part]
+            places = [_literal(place) for _, place in part]
+            gone = ", ".join(f"PARTITION ({spec})" for spec in specs)
+            self.db.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {gone}")
+            new = " ".join(f"PARTITION ({s}) LOCATION {x}" for s, x in zip(specs, places, strict=True))
+            self.db.spark.sql(f"ALTER TABLE {table} ADD {new}")
+
     def latest(self, brand: str | None = None) -> DataFrame:
         """Newest run of a brand, or of all brands."""
         runs = self.runs()
@@ -198,7 +217,7 @@ class RunStore:
             return False
         table = self.db.qualified("run_items")
         spec = ", ".join(
-            f"{column} = '{_quoted(value)}'"
+            f"{column} = {_literal(value)}"
             for column, value in zip(ITEM_PARTITIONS, (first["brand"], run_id), strict=True)
         )
         stored = self.db.spark.sql(f"SHOW PARTITIONS {table} PARTITION ({spec})")
@@ -208,5 +227,7 @@ class RunStore:
         return True
 
 
-def _quoted(value: str) -> str:
-    return value.replace("\\", "\\\\").replace("'", "\\'")
+def _literal(value: str | None) -> str:
+    if value is None:
+        return "NULL"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -38,6 +38,11 @@ class CatalogDatabase:
         """Name of the newest version."""
         return f"{self.name}.{table}__v{self.versions(table)[-1]}"
 
+    def location(self, table: str) -> str:
+        """Folder of the newest version."""
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.qualified(table)}")
+        return described.filter("col_name = 'Location'").first()["data_type"]
+
     def exists(self, table: str) -> bool:
         return bool(self.versions(table))
 

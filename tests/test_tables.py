@@ -1,5 +1,6 @@
 """Files, catalog tables and the run store, written and read back."""
 
+import glob
 import json
 import uuid
 from datetime import datetime
@@ -407,3 +408,28 @@ def test_shared_folder_comes_from_the_session(spark):
     if configured:
         assert shared_dir(spark) == configured.rstrip("/")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_saved_items_are_written_once(spark, db):
+    store = run_plans.RunStore(db, run_items(spark, "x", "1", []).schema)
+    keys = [("4-NOT SPECIFIED", "1"), ("a+b%41:c/d=e", "1"), ("Größe 'q' \\", "007"), ("B", "1"), (None, "1")]
+    frames = [run_items(spark, "x", run, [("s", "n", "c", "s")] * (i + 1)).withColumn("brand", F.lit(brand)) for i, (brand, run) in enumerate(keys)]
+    every = frames[0]
+    for frame in frames[1:]:
+        every = every.unionByName(frame)
+    before = set(glob.glob(f"{local_path(shared_dir(spark))}/loomcat/*/*"))
+    for again in range(2):  # a run saved again takes the place of its items
+        store.save_runs(every, later("2026-01-01 00:00:00"), F.lit(again).cast("bigint"))
+        stored = store.items().groupBy("brand", "scrape_id").count().collect()
+        assert {(r["brand"], r["scrape_id"]): r["count"] for r in stored} == {k: i + 1 for i, k in enumerate(keys)}
+        counts = store.runs().filter(F.col("seq") == again).collect()
+        assert {(r["brand"], r["id"]): r["item_count"] for r in counts} == {k: i + 1 for i, k in enumerate(keys)}
+    copies = set(glob.glob(f"{local_path(shared_dir(spark))}/loomcat/*/*")) - before
+    assert not [c for c in copies if "run-items" in c]
+    assert store.delete_run("007") is True and store.items().count() == 1 + 2 + 4 + 5
+    store.save_runs(every.limit(0), later("2026-01-01 00:00:00"), F.lit(9).cast("bigint"))
+    assert store.items().count() == 1 + 2 + 4 + 5
+
+
+def local_path(place):
+    return place.removeprefix("file:")
