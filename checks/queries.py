@@ -671,14 +671,16 @@ ALL_BRANDS_SQL = f"""SELECT coalesce(CASE WHEN p.brand <> 'shop_a_1' THEN 'id_'
 
 def whole_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All shops of both dialects, with the details and ids that a harvest of all brands joins."""
-    pages = sets.merge_datasets([v.captured_a(spark, sf_dir), v.captured_b(spark, sf_dir)])
+    with v.shared_base(spark, sf_dir) as base:
+        pages = sets.merge_datasets([v.captured_a(spark, sf_dir, base), v.captured_b(spark, sf_dir, base)])
+        captures = v.captures(spark, sf_dir, "brand", base=base)
     shops_all = sets.merge_datasets([shops(spark, sf_dir, "a"), shops(spark, sf_dir, "b")])
     own_id = F.when(F.col("brand") != "shop_a_1", F.col("brand_id"))
     return plans.harvest_all(
         pages,
         shops_all.withColumn("brand_id", own_id),
         every_shop(),
-        captures=v.captures(spark, sf_dir, "brand"),
+        captures=captures,
         brand_dim=spark_rows(spark, sf_dir, "SELECT * FROM shop_dim"),
         as_of=as_of(),
     )

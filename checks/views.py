@@ -8,10 +8,15 @@ Variants are assigned to rows by key arithmetic; no view leaves rows out.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomcat.session import materialize
+
 BASE_A = "https://shop-a.example"
 BASE_B = "https://shop-b.example"
 AS_OF = "2026-02-15"
@@ -390,9 +395,23 @@ def duckdb_sql(sql: str) -> str:
     return re.sub(r"@(\w+)", r"\1", with_views(sql))
 
 
-def spark_rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The same over the Parquet files."""
-    return spark.sql(re.sub(r"@(\w+)", rf"parquet.`{sf_dir}/\1.parquet`", with_views(sql)))
+def spark_rows(spark: SparkSession, sf_dir: str, sql: str, base: str | None = None) -> DataFrame:
+    """The same over the Parquet files; ``base`` names a temporary view that holds the rows of ``base``."""
+    text = with_views(sql)
+    if base:
+        text = text.replace(VIEWS["base"].strip(), f"SELECT * FROM {base}")
+    return spark.sql(re.sub(r"@(\w+)", rf"parquet.`{sf_dir}/\1.parquet`", text))
+
+
+@contextmanager
+def shared_base(spark: SparkSession, sf_dir: str) -> Iterator[str]:
+    """Name of a view of the rows of ``base``, joined and written once for several readers."""
+    name = f"base_{uuid.uuid4().hex}"
+    materialize(spark_rows(spark, sf_dir, "SELECT * FROM base"), "base").createTempView(name)
+    try:
+        yield name
+    finally:
+        spark.catalog.dropTempView(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -448,13 +467,15 @@ TILE_B_OTHER = f"""
 """
 
 
-def rendered_pages(spark: SparkSession, sf_dir: str, view: str, tile: str, captured: bool = False) -> DataFrame:
+def rendered_pages(
+    spark: SparkSession, sf_dir: str, view: str, tile: str, captured: bool = False, base: str | None = None
+) -> DataFrame:
     """Listing pages of all rows of a view; a page holds one page's worth of tiles.
 
     ``captured`` leaves out the pages that nobody has captured, as a harvest would find them.
     """
     where = " WHERE NOT missing" if captured else ""
-    tiles = spark_rows(spark, sf_dir, f"SELECT * FROM {view}{where}").select(
+    tiles = spark_rows(spark, sf_dir, f"SELECT * FROM {view}{where}", base).select(
         "brand",
         F.col("page_category").alias("category"),
         F.col("start").cast("int").alias("start"),
@@ -484,15 +505,15 @@ def pages_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered_pages(spark, sf_dir, "vb", TILE_B)
 
 
-def captured_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+def captured_a(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """What a harvest of the dialect-A shops has to read: some pages are missing, also first ones."""
-    return rendered_pages(spark, sf_dir, "va", TILE_A, captured=True)
+    return rendered_pages(spark, sf_dir, "va", TILE_A, captured=True, base=base)
 
 
-def captured_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+def captured_b(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """The same of dialect B, where some shops use another markup."""
     tile = f"CASE WHEN brand_no % 2 = 1 THEN {TILE_B_OTHER} ELSE {TILE_B} END"
-    return rendered_pages(spark, sf_dir, "vb", tile, captured=True)
+    return rendered_pages(spark, sf_dir, "vb", tile, captured=True, base=base)
 
 
 DOCUMENT = """
@@ -538,10 +559,10 @@ CASE launch_form WHEN 0 THEN lpad(m, 2, '0') || '. MONTH' WHEN 1 THEN '25-' || l
 """
 
 
-def captures(spark: SparkSession, sf_dir: str, *brand: str) -> DataFrame:
+def captures(spark: SparkSession, sf_dir: str, *brand: str, base: str | None = None) -> DataFrame:
     """Detail captures: an older one for every seventh product, and the one that counts."""
     rows = (
-        spark_rows(spark, sf_dir, "SELECT * FROM vd WHERE captured")
+        spark_rows(spark, sf_dir, "SELECT * FROM vd WHERE captured", base)
         .withColumn("launch", F.expr(LAUNCH))
         .withColumn("body", F.expr(DOCUMENT))
     )
